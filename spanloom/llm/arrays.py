@@ -15,6 +15,8 @@ U64 = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same and ASCII punctuation.
+PUNCTUATION = SPACES | np.array([chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE_BYTES = 1 << 21
@@ -79,12 +81,12 @@ def slices(raw: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> It
         i = j
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each row (and the end) the index of its first word."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    blank = SPACES[raw]
+    blank = separators[raw]
     edge = np.empty(len(raw) + 1, bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = blank[:-1]
