@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from spanloom.llm import toxicity
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
+from spanloom.llm.substrings import without_repeats
 from spanloom.llm.token_counts import count_tokens
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     docs = documents(spark, sf_dir)
@@ -32,7 +38,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_sentence_pieces, op7_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op6_sentence_pieces, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
