@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import toxicity
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
+from spanloom.llm.simhash import near_duplicates
 from spanloom.llm.substrings import without_repeats
 from spanloom.llm.token_counts import count_tokens
 
@@ -28,6 +29,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -38,7 +44,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op6_sentence_pieces, op7_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
