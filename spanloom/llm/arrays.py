@@ -19,7 +19,7 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PUNCTUATION = SPACES | np.array([chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _TABLES: dict[int, np.ndarray] = {}
@@ -79,6 +79,7 @@ def slices(raw: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> It
         j = min(j, n)
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from spanloom.llm.arrays import U64
+from spanloom.llm.arrays import U64, mix
 
 #: Columns of a packed batch: bucket, number of entries, hashes, and delta-coded keys, positions and tags.
 SCHEMA = "bucket int, n int, hashes binary, keys binary, spots binary, tags binary"
+ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "keys", "spots", "tags"))])
 NAMES = ["bucket", "n", "hashes", "keys", "spots", "tags"]
 
 
@@ -35,7 +36,8 @@ def pack_hashes(h: np.ndarray, width: int) -> bytes:
 
 def unpack_hashes(b: bytes, n: int, width: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(n, width)
+    if width:
+        out[:, :width] = np.frombuffer(b, np.uint8).reshape(n, width)
     return out.view("<u8").ravel()
 
 
@@ -66,10 +68,36 @@ def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
+class Packer:
+    """Gathers entries over slices and packs them a limited number at a time."""
+
+    def __init__(self, width: int, most: int = 1 << 20):
+        self.width, self.most, self.held, self.n = width, most, [], 0
+
+    def add(self, *entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """bucket, hashes, keys, positions, tags."""
+        self.held.append(entries)
+        self.n += len(entries[0])
+        if self.n >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            bucket, hashes, keys, spots, tags = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            yield pack(bucket, hashes, self.width, keys, spots, tags)
+        self.held, self.n = [], 0
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> U64(33)) % U64(n)).astype(np.int32)
 
 
+def home_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket in which a document's text and all that is said of it meet."""
+    with np.errstate(over="ignore"):
+        return bucket_of(mix(keys.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15)), n)
+
+
 def groups(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorting order, and where each run of equal values starts in it."""
     order = np.argsort(order_by, kind="stable")
@@ -79,15 +107,27 @@ def groups(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def lists_by_key(keys: np.ndarray, tags: np.ndarray, spots: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, pa.ListArray]]:
-    """Positions gathered by (key, tag): keys, tags and a list column, a limited number of rows at a time."""
+def sent_home(n: int, keys: np.ndarray, tags: np.ndarray, spots: np.ndarray, hashes: np.ndarray | None = None) -> pa.Table:
+    """Entries as a table of packed rows for the documents' buckets, sorted by key, tag and position."""
     order = np.lexsort((spots, tags, keys))
-    keys, tags, spots = keys[order], tags[order], spots[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(keys))
-    for i in range(0, len(at), size):
-        a, b = at[i : i + size], ends[i : i + size]
-        offsets = pa.array(np.append(a - a[0], b[-1] - a[0]), pa.int32())
-        yield keys[a], tags[a], pa.ListArray.from_arrays(offsets, pa.array(spots[a[0] : b[-1]], pa.int32()))
+    keys = keys[order]
+    batch = pack(home_of(keys, n), hashes[order] if hashes is not None else np.zeros(len(keys), U64), 8 if hashes is not None else 0, keys, spots[order], tags[order])
+    return pa.Table.from_batches([batch] if batch is not None else [], ARROW)
+
+
+class Notes:
+    """What came home to one bucket, by document."""
+
+    def __init__(self, table: pa.Table, width: int = 0):
+        hashes, keys, spots, tags = unpack(table, width)
+        order = np.lexsort((spots, tags, keys))
+        self.keys, self.spots, self.tags = keys[order], spots[order], tags[order]
+        self.hashes = hashes[order] if width else hashes
+
+    def of(self, keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the notes for the given rows, and to which row each belongs."""
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        row = np.repeat(np.arange(len(keys)), hi - lo)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        same = self.tags[at] == tags[row]
+        return at[same], row[same]

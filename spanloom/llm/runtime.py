@@ -24,6 +24,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts in Arrow batches of the default 10,000 rows take memory for nothing: lower it where the session leaves the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -34,6 +40,7 @@ def buckets_for(spark: SparkSession, total_bytes: int, per_bucket: int = 24 << 2
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    small_batches(docs.sparkSession)
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 

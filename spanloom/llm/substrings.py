@@ -45,76 +45,75 @@ def sampled(h: np.ndarray, first: np.ndarray, width: int, part: int) -> tuple[np
     return starts, at[starts], small
 
 
-def list_cut(column: pa.ListArray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of rows i to j of a list column, and their sizes."""
-    part = column.slice(i, j - i)
-    sizes = np.asarray(part.value_lengths().fill_null(0), dtype=np.int64)
-    return np.asarray(part.flatten(), dtype=np.int64), sizes
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """k (the key, nulls last), doc_id, text and tag (tells rows of one key apart)."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("k"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.hash(docs["text"]).cast("bigint").alias("tag"))
 
 
-def removed_windows(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(documents as k, doc_id, text, tag; windows to remove as k and a list of (tag, starts in words))."""
-    spark, part = docs.sparkSession, (width + 1) // 2
-    n_buckets = buckets_for(spark, 3 * text_bytes(docs))
+def at_home(docs: DataFrame, n_homes: int) -> DataFrame:
+    """The same with the bucket in which each document meets its notes: they go by key, so a hot source is no hot bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(packing.home_of(np.asarray(b.column(0)), n_homes)), *b.columns], ["bucket", "k", "doc_id", "text", "tag"])
+
+    return keyed_documents(docs).mapInArrow(run, f"bucket int, k bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, tag bigint")
+
+
+def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int) -> DataFrame:
+    """Packed notes (key, tag, start in words) of the windows to remove."""
+    part = (width + 1) // 2
+    n_buckets = buckets_for(docs.sparkSession, 3 * text_bytes(docs))
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = packing.Packer(5)
         for b in batches:
-            keys = np.asarray(b.column(0))
-            raw, offsets = buffers(b.column(1))
+            keys, tags = np.asarray(b.column(0)), np.asarray(b.column(3))
+            raw, offsets = buffers(b.column(2))
             for i, _, cut, cut_offsets in slices(raw, offsets):
                 starts, ends, first = words(cut, cut_offsets)
                 _, at, small = sampled(span_hashes(cut, starts, ends), first, width, part)
                 at = np.unique(at)
                 row = np.searchsorted(first, at, "right") - 1
-                h = small[at]
-                out = packing.pack(packing.bucket_of(h, n_buckets), h, 5, keys[i + row], at - first[row])
-                if out is not None:
-                    yield out
+                yield from packer.add(packing.bucket_of(small[at], n_buckets), small[at], keys[i + row], at - first[row], tags[i + row])
+        yield from packer.flush()
 
     def repeated_halves(table: pa.Table) -> pa.Table:
-        h, keys, spots, _ = packing.unpack(table, 5)
+        h, keys, spots, tags = packing.unpack(table, 5)
         order, at = packing.groups(h)
         k = keys[order]
         many = np.minimum.reduceat(k, at) < np.maximum.reduceat(k, at)
         kept = order[np.repeat(many, np.diff(at, append=len(k)))]
-        rows = [pa.RecordBatch.from_arrays([pa.array(k), lists], ["k", "at"]) for k, _, lists in packing.lists_by_key(keys[kept], np.zeros(len(kept)), spots[kept])]
-        return pa.Table.from_batches(rows, pa.schema([("k", pa.int64()), ("at", pa.list_(pa.int32()))]))
-
-    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, tags = np.asarray(b.column(0)), np.asarray(b.column(2))
-            raw, offsets = buffers(b.column(1))
-            for i, j, cut, cut_offsets in slices(raw, offsets):
-                starts, ends, first = words(cut, cut_offsets)
-                h = span_hashes(cut, starts, ends)
-                window, at, _ = sampled(h, first, width, part)
-                marks, sizes = list_cut(b.column(3), i, j)
-                alive = np.zeros(len(h) + 1, bool)
-                spot = marks + np.repeat(first[:-1], sizes)
-                alive[spot[spot < np.repeat(first[1:], sizes)]] = True
-                window = window[alive[at]]
-                row = np.searchsorted(first, window, "right") - 1
-                full = run_hashes(h, width)[window] if len(window) else np.zeros(0, U64)
-                other = run_hashes(h, width, 1)[window] if len(window) else full
-                out = packing.pack(packing.bucket_of(other, n_buckets), full, 8, keys[i + row], window - first[row], tags[i + row])
-                if out is not None:
-                    yield out
+        return packing.sent_home(n_homes, keys[kept], tags[kept], spots[kept])
+
+    def doubled(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        keys, tags = np.asarray(texts.column("k")), np.asarray(texts.column("tag"))
+        known, packer, out = packing.Notes(notes), packing.Packer(8), []
+        raw, offsets = buffers(texts.column("text"))
+        for i, j, cut, cut_offsets in slices(raw, offsets):
+            starts, ends, first = words(cut, cut_offsets)
+            h = span_hashes(cut, starts, ends)
+            window, at, _ = sampled(h, first, width, part)
+            note, row = known.of(keys[i:j], tags[i:j])
+            alive = np.zeros(len(h) + 1, bool)
+            alive[known.spots[note] + first[row]] = True
+            window = window[alive[at]]
+            row = np.searchsorted(first, window, "right") - 1
+            full, other = (run_hashes(h, width, f)[window] if len(window) else np.zeros(0, U64) for f in (0, 1))
+            out += packer.add(packing.bucket_of(other, n_buckets), full, keys[i + row], window - first[row], tags[i + row])
+        return pa.Table.from_batches([*out, *packer.flush()], packing.ARROW)
 
     def later(table: pa.Table) -> pa.Table:
         h, keys, spots, tags = packing.unpack(table, 8)
         order, at = packing.groups(h)
         least = np.repeat(np.minimum.reduceat(keys[order], at), np.diff(at, append=len(order)))
         gone = order[keys[order] > least]
-        rows = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), lists], ["k", "tag", "at"]) for k, t, lists in packing.lists_by_key(keys[gone], tags[gone], spots[gone])]
-        return pa.Table.from_batches(rows, pa.schema([("k", pa.int64()), ("tag", pa.int64()), ("at", pa.list_(pa.int32()))]))
+        return packing.sent_home(n_homes, keys[gone], tags[gone], spots[gone])
 
-    keyed = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("k"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.hash(docs["text"]).cast("bigint").alias("tag"))
-    first = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)), docs["text"]).mapInArrow(halves, packing.SCHEMA)
-    half = first.groupBy("bucket").applyInArrow(repeated_halves, "k bigint, at array<int>")
-    alive = half.groupBy("k").agg(F.flatten(F.collect_list("at")).alias("at"))
-    second = keyed.join(alive, "k").select("k", "text", "tag", "at").mapInArrow(doubled, packing.SCHEMA)
-    gone = second.groupBy("bucket").applyInArrow(later, "k bigint, tag bigint, at array<int>")
-    return keyed, gone.groupBy("k").agg(F.collect_list(F.struct("tag", "at")).alias("gone"))
+    first = keyed_documents(docs).mapInArrow(halves, packing.SCHEMA)
+    half = first.groupBy("bucket").applyInArrow(repeated_halves, packing.SCHEMA)
+    second = homes.groupBy("bucket").cogroup(half.groupBy("bucket")).applyInArrow(doubled, packing.SCHEMA)
+    return second.groupBy("bucket").applyInArrow(later, packing.SCHEMA)
 
 
 def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -122,32 +121,27 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
     A word goes if a window of `width` words that covers it also starts in a document with a smaller key.
     """
-    keyed, gone = removed_windows(docs, width)
+    n_homes = buckets_for(docs.sparkSession, text_bytes(docs))
+    homes = at_home(docs, n_homes)
+    gone = removed_windows(docs, homes, n_homes, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = buffers(b.column(1))
-            tags = b.column(2).to_pylist()
-            for i, j, cut, cut_offsets in slices(raw, offsets):
-                starts, ends, first = words(cut, cut_offsets)
-                change = np.zeros(len(starts) + 1, np.int64)
-                for r, found in enumerate(b.column(3).slice(i, j - i)):
-                    if not found.is_valid:
-                        continue
-                    for x in zip(found.values.field(0).to_pylist(), found.values.field(1), strict=True):
-                        if x[0] == tags[i + r]:
-                            at = np.asarray(x[1].values, dtype=np.int64) + first[r]
-                            np.add.at(change, at, 1)
-                            np.add.at(change, np.minimum(at + width, len(starts)), -1)
-                lost = np.cumsum(change[:-1]) > 0
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(np.bincount(rows_of(first)[lost], minlength=j - i)), kept_texts(cut, starts[~lost], ends[~lost], np.concatenate([[0], np.cumsum(~lost)])[first])],
-                    ["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    joined = keyed.join(gone, "k", "left").select("doc_id", "text", "tag", "gone")
-    return joined.mapInArrow(apply, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    def apply(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        keys, tags, ids = np.asarray(texts.column("k")), np.asarray(texts.column("tag")), texts.column("doc_id").combine_chunks()
+        known, out = packing.Notes(notes), []
+        raw, offsets = buffers(texts.column("text"))
+        for i, j, cut, cut_offsets in slices(raw, offsets):
+            starts, ends, first = words(cut, cut_offsets)
+            note, row = known.of(keys[i:j], tags[i:j])
+            at = known.spots[note] + first[row]
+            n = len(starts) + 1
+            change = np.bincount(at, minlength=n) - np.bincount(np.minimum(at + width, n - 1), minlength=n)
+            lost = np.cumsum(change[:-1]) > 0
+            upto = np.concatenate([[0], np.cumsum(~lost)])[first]
+            out.append(pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(first)), pa.array(np.bincount(rows_of(first)[lost], minlength=j - i)), kept_texts(cut, starts[~lost], ends[~lost], upto)], ["doc_id", "n_words", "n_removed", "kept"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+
+    return homes.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(apply, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def kept_texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> pa.StringArray:
