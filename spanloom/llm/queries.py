@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import toxicity
+from spanloom.llm import byte_repeats, toxicity
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
 from spanloom.llm.simhash import near_duplicates
@@ -43,8 +43,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = byte_repeats.without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
