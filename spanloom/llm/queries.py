@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import byte_repeats, toxicity
+from spanloom.llm.line_dedup import removals
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
 from spanloom.llm.simhash import near_duplicates
@@ -48,8 +49,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = removals(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
