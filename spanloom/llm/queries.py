@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import byte_repeats, toxicity
+from spanloom.llm.decontamination import leaks
 from spanloom.llm.line_dedup import removals
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
@@ -44,6 +45,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = byte_repeats.without_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
