@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import byte_repeats, toxicity
 from spanloom.llm.decontamination import leaks
+from spanloom.llm.hash_forest import nearest_neighbours
 from spanloom.llm.line_dedup import removals
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
@@ -36,6 +37,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -60,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op5_hash_prefix_forest, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
