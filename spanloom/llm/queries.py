@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_repeats, toxicity
+from spanloom.llm import byte_repeats, pitman_yor, toxicity
 from spanloom.llm.decontamination import leaks
 from spanloom.llm.hash_forest import nearest_neighbours
 from spanloom.llm.line_dedup import removals
@@ -19,6 +19,12 @@ from spanloom.llm.substrings import without_repeats
 from spanloom.llm.token_counts import count_tokens
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = pitman_yor.scores(documents(spark, sf_dir), trains=remainder != 2)
+    return found.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op5_hash_prefix_forest, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op5_hash_prefix_forest, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
