@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -46,3 +49,20 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def annotated(docs: DataFrame, column: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """docs with further columns (name, SQL type) that a function of one column's Arrow array gives; whatever the other columns are called.
+
+    make() runs once per task and returns the function.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(column)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField(f"x{i}", T._parse_datatype_string(t)) for i, (_, t) in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *work(b.column(at))], schema.names)
+
+    return docs.toDF(*schema.names[: len(docs.columns)]).mapInArrow(run, schema).toDF(*docs.columns, *(name for name, _ in fields))

@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanloom.llm.runtime import annotated, small_batches
 
 
 BLANK = "▁"
@@ -206,6 +209,7 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
     One narrow pass without a shuffle; workers read the model file at `model`.
     """
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
@@ -219,3 +223,15 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
                 )
 
     return docs.select(docs[key], docs[text]).mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string").withColumnRenamed("id", key)
+
+
+def with_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """The documents, all columns kept but the text, which is what its ids give back, and ids and n_tokens."""
+
+    def code(column: pa.Array) -> list[pa.Array]:
+        pieces = loaded(model)
+        ids = pieces.encode([t or "" for t in column.to_pylist()])
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(pieces.decode(ids), pa.string())]
+
+    coded = annotated(docs, text, [("ids", "binary"), ("n_tokens", "bigint"), ("__decoded", "string")], lambda: code)
+    return coded.select(*[F.col("__decoded").alias(c) if c == text else c for c in docs.columns], "ids", "n_tokens")

@@ -27,12 +27,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrays import LOWER, U64, buffers, rows_of, slices, words
 from spanloom.llm.components import components
-from spanloom.llm.runtime import saved
+from spanloom.llm.runtime import annotated, saved, small_batches
 
 SEED = 42
 SEGMENT_BITS = 1.415  # collision entropy of the popcount of two random bits
@@ -71,6 +71,7 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, width: int) -> np.ndar
 def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) per row, in one narrow pass."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,9 +135,27 @@ def linked(points: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, itself included) per row."""
     prints = saved(fingerprints(docs, width))
+    return prints.join(by_fingerprint(prints, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def by_fingerprint(prints: DataFrame, distance: int) -> DataFrame:
+    """For each fingerprint of (doc_id, fp) rows its component's root fingerprint and smallest doc_id: fp, root, component_id."""
     points = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = linked(points.select("fp"), distance)
     named = points.join(roots, "fp").select("fp", "least", "root")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return named.join(names, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text") -> DataFrame:
+    """The documents, all columns kept, that stand for their component: of those with its smallest doc_id the one with the least text."""
+
+    def prints_of(column: pa.Array) -> list[pa.Array]:
+        raw, offsets = buffers(column)
+        parts = [fingerprints_of(cut, cut_offsets, width).view(np.int64) for _, _, cut, cut_offsets in slices(raw, offsets)]
+        return [pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))]
+
+    named = by_fingerprint(saved(fingerprints(docs, width)), distance).toDF("__fp", "__root", "__component")
+    held = annotated(docs, text, [("__fp", "bigint")], lambda: prints_of).join(named, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component")))
+    first = F.row_number().over(Window.partitionBy("__root").orderBy(text))
+    return held.withColumn("__rank", first).where("__rank = 1").select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrays import LOWER, PUNCTUATION, U64, buffers, mix, rows_of, slices, span_hashes, words
+from spanloom.llm.runtime import annotated, small_batches
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (double, 0 to 1) per row: one narrow pass."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,3 +117,10 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["id", "score"])
 
     return docs.select(docs[key], docs[text]).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", key)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The documents, all columns kept, whose score is under the threshold: one narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = annotated(docs, text, [("__score", "double")], lambda: lambda column: [pa.array(shared.value.scores(column))])
+    return scored.where(F.col("__score") < threshold).drop("__score")
