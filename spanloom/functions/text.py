@@ -88,7 +88,7 @@ def sentence_texts(paragraph: Column) -> Column:
 
 
 def ends_in_abbreviation(segment: Column) -> Column:
-    return F.lower(F.element_at(F.split(F.regexp_replace(segment, "\\s+$", ""), " "), -1)).isin(ABBREVIATIONS)
+    return F.lower(F.element_at(F.split(F.regexp_replace(segment, "\\s+$", ""), " "), -1)).isin(*ABBREVIATIONS)
 
 
 def only_punctuation(segment: Column) -> Column:
