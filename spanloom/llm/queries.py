@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import byte_repeats, pitman_yor, toxicity
 from spanloom.llm.decontamination import leaks
 from spanloom.llm.hash_forest import nearest_neighbours
-from spanloom.llm.line_dedup import removals
+from spanloom.llm.line_dedup import line_removals
 from spanloom.llm.runtime import documents
 from spanloom.llm.sentence_pieces import encode_and_decode
 from spanloom.llm.simhash import near_duplicates
@@ -66,8 +66,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = removals(documents(spark, sf_dir))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    found = line_removals(documents(spark, sf_dir))
+    return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

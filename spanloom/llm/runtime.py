@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,3 +67,12 @@ def annotated(docs: DataFrame, column: str, fields: list[tuple[str, str]], make:
             yield pa.RecordBatch.from_arrays([*b.columns, *work(b.column(at))], schema.names)
 
     return docs.toDF(*schema.names[: len(docs.columns)]).mapInArrow(run, schema).toDF(*docs.columns, *(name for name, _ in fields))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read back."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(out)
+    return spark.read.parquet(out)
