@@ -161,7 +161,7 @@ def test_neighbours_with_ties_and_unusable_rows(spark):
     same = [0.5, -0.25, 1.0, 0.0]
     rows = [(i, same if i % 3 == 0 else [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(240)]
     rows += [(1000, None), (1020, [0.0] * 4), (1040, [float("nan"), 1.0, 1.0, 1.0]), (1060, [None, 1.0, 1.0, 1.0]), (1080, []), (None, same), (1100, [1.0, 2.0]), (20, rows[20][1])]
-    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<float>, score int")
     got: dict = {}
     for r in hash_forest.nearest_neighbours(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
