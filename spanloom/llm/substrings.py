@@ -2,9 +2,9 @@
 
 Level 1 looks at windows of half the asked length (rounded up), sampled so that every asked window holds a
 sampled one at the same place in each of its occurrences: the one of least hash. Those that occur in one
-document only drop out. What is left is extended to the full length and counted again; with `longest`, what
-repeats there alone is doubled further until no candidate survives. Each level moves packed hashes only;
-texts move once, to the partition of their key.
+document only drop out. What is left is extended to the full length and counted again. That settles what goes;
+`longest_repeats` doubles further, windows whose two halves both repeat, until no candidate survives. Each level
+moves packed hashes only; texts move once (once a level in `longest_repeats`), to the bucket of their key.
 
 A window's level-2 hash has 64 stored bits beside the bits that choose its bucket (a bucket holds some MB at any
 input size, so the bucket bits grow with the input).
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import packing
 from spanloom.llm.arrays import U64, buffers, rows_of, run_hashes, slices, span_hashes, whole, words
-from spanloom.llm.runtime import buckets_for, text_bytes
+from spanloom.llm.runtime import buckets_for, saved, text_bytes
 
 LAST = (1 << 63) - 1
 
@@ -60,8 +60,18 @@ def at_home(docs: DataFrame, n_homes: int) -> DataFrame:
     return keyed_documents(docs).mapInArrow(run, f"bucket int, k bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, tag bigint")
 
 
-def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int) -> DataFrame:
-    """Packed notes (key, tag, start in words) of the windows to remove."""
+def repeated(table: pa.Table, n_homes: int, first_too: bool) -> pa.Table:
+    """Notes of the windows of one bucket that stand in several documents; those of the smallest key only if asked for."""
+    h, keys, spots, tags = packing.unpack(table, 8)
+    order, at = packing.groups(h)
+    size = np.diff(at, append=len(order))
+    least, most = (np.repeat(f.reduceat(keys[order], at), size) for f in (np.minimum, np.maximum))
+    found = order[(least < most) if first_too else (keys[order] > least)]
+    return packing.sent_home(n_homes, keys[found], tags[found], spots[found])
+
+
+def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int, first_too: bool = False) -> DataFrame:
+    """Packed notes (key, tag, start in words) of the windows to remove; with first_too of all that repeat."""
     part = (width + 1) // 2
     n_buckets = buckets_for(docs.sparkSession, 3 * text_bytes(docs))
 
@@ -103,17 +113,10 @@ def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int)
             out += packer.add(packing.bucket_of(other, n_buckets), full, keys[i + row], window - first[row], tags[i + row])
         return pa.Table.from_batches([*out, *packer.flush()], packing.ARROW)
 
-    def later(table: pa.Table) -> pa.Table:
-        h, keys, spots, tags = packing.unpack(table, 8)
-        order, at = packing.groups(h)
-        least = np.repeat(np.minimum.reduceat(keys[order], at), np.diff(at, append=len(order)))
-        gone = order[keys[order] > least]
-        return packing.sent_home(n_homes, keys[gone], tags[gone], spots[gone])
-
     first = keyed_documents(docs).mapInArrow(halves, packing.SCHEMA)
     half = first.groupBy("bucket").applyInArrow(repeated_halves, packing.SCHEMA)
     second = homes.groupBy("bucket").cogroup(half.groupBy("bucket")).applyInArrow(doubled, packing.SCHEMA)
-    return second.groupBy("bucket").applyInArrow(later, packing.SCHEMA)
+    return second.groupBy("bucket").applyInArrow(lambda table: repeated(table, n_homes, first_too), packing.SCHEMA)
 
 
 def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -144,6 +147,48 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     return homes.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(apply, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
+def longest_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
+    """k (the key, nulls last) and words: the longest of width, 2 width, 4 width, ... at which a window of the document also
+    stands in another one. Documents without a repeat have no row."""
+    n_homes = buckets_for(docs.sparkSession, text_bytes(docs))
+    homes = at_home(docs, n_homes)
+    found, out = saved(removed_windows(docs, homes, n_homes, width, first_too=True)), None
+
+    def doubled_at(half: int):
+        def run(texts: pa.Table, notes: pa.Table) -> pa.Table:
+            keys, tags = np.asarray(texts.column("k")), np.asarray(texts.column("tag"))
+            known, packer, batches = packing.Notes(notes), packing.Packer(8), []
+            raw, offsets = buffers(texts.column("text"))
+            for i, j, cut, cut_offsets in slices(raw, offsets):
+                starts, ends, first = words(cut, cut_offsets)
+                h = span_hashes(cut, starts, ends)
+                note, row = known.of(keys[i:j], tags[i:j])
+                alive = np.zeros(len(h) + half + 1, bool)
+                alive[known.spots[note] + first[row]] = True
+                at = np.flatnonzero(alive[: len(h)] & alive[half : len(h) + half])
+                row = np.searchsorted(first, at, "right") - 1
+                inside = at + 2 * half <= first[row + 1]
+                at, row = at[inside], row[inside]
+                full, other = (run_hashes(h, 2 * half, f)[at] if len(at) else np.zeros(0, U64) for f in (0, 1))
+                batches += packer.add(packing.bucket_of(other, n_homes), full, keys[i + row], at - first[row], tags[i + row])
+            return pa.Table.from_batches([*batches, *packer.flush()], packing.ARROW)
+
+        return run
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(packing.unpack_ints(keys, n)))], ["k"])
+
+    while True:
+        level = found.mapInArrow(keys_of, "k bigint").distinct().withColumn("words", F.lit(width))
+        out = level if out is None else out.unionByName(level)
+        if found.limit(1).count() == 0:
+            return out.groupBy("k").agg(F.max("words").alias("words"))
+        pairs = homes.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(doubled_at(width), packing.SCHEMA)
+        found, width = saved(pairs.groupBy("bucket").applyInArrow(lambda table: repeated(table, n_homes, True), packing.SCHEMA)), 2 * width
+
+
 def kept_texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> pa.StringArray:
     """The given words of each row, joined by one space."""
     size = ends - starts + 1

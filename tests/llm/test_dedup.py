@@ -102,6 +102,22 @@ def test_substrings(table):
     assert in_order(got) == in_order(brute_words(rows_of(table)))
 
 
+def test_longest_repeats(table):
+    rows, longest, width = rows_of(table), {}, 5
+    while True:
+        holders = {}
+        for k, t in rows:
+            w = split(t)
+            for i in range(len(w) - width + 1):
+                holders.setdefault(tuple(w[i : i + width]), set()).add(LAST if k is None else k)
+        found = {k for h in holders.values() if len(h) > 1 for k in h}
+        longest |= dict.fromkeys(found, width)
+        if not found:
+            break
+        width *= 2
+    assert {r.k: r.words for r in substrings.longest_repeats(table, 5).collect()} == longest
+
+
 @pytest.mark.parametrize("part", [2000, 2])
 def test_bytes(table, part, monkeypatch):
     monkeypatch.setattr(byte_repeats, "PART", part)
