@@ -28,7 +28,7 @@ from spanloom.llm.runtime import annotated, small_batches
 
 BLANK = "▁"
 NONE = np.int32(2**31 - 1)
-WORDS_KEPT = 120_000
+WORDS_KEPT = 250_000
 SLICE_CHARS = 1 << 20
 
 codecs.register_error("one_mark_per_byte", lambda e: ("�" * (e.end - e.start), e.end))
