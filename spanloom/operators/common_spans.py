@@ -44,15 +44,26 @@ def common_spans(original: list[str], abridged: list[str]) -> list[tuple[tuple[i
     """(original span, abridged span) pairs by abridged start; an abridged span lies within one segment."""
     long, short = placed_tokens("".join(original)), placed_tokens("".join(abridged))
     used_long, used_short = np.zeros(sum(map(len, original)), bool), np.zeros(sum(map(len, abridged)), bool)
+    if not long or not short:
+        return []
+    # run[i][j]: how many tokens agree from short token i and long token j on
+    names = {t: k for k, t in enumerate({t[0] for t in long + short})}
+    a, b = (np.array([names[t[0]] for t in side]) for side in (short, long))
+    run = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        run[i, :-1] = np.where(a[i] == b, run[i + 1, 1:] + 1, 0)
+    reach = run.max(axis=1)
     out = []
-    for n in range(len(short), 0, -1):
-        for i in range(len(short) - n + 1):
-            a, b = short[i][1], short[i + n - 1][2]
-            if used_short[a:b].any() or not within_one(abridged, a, b):
+    for n in range(int(reach.max()), 0, -1):
+        for i in np.flatnonzero(reach[: len(short) - n + 1] >= n).tolist():
+            start, end = short[i][1], short[i + n - 1][2]
+            if used_short[start:end].any() or not within_one(abridged, start, end):
                 continue
-            found = first_free(long, [t[0] for t in short[i : i + n]], used_long)
-            if found:
-                out.append((found, (a, b)))
-                used_long[slice(*found)] = True
-                used_short[a:b] = True
+            for j in np.flatnonzero(run[i] >= n).tolist():
+                place = slice(long[j][1], long[j + n - 1][2])
+                if not used_long[place].any():
+                    out.append(((place.start, place.stop), (start, end)))
+                    used_long[place] = True
+                    used_short[start:end] = True
+                    break
     return sorted(out, key=lambda pair: pair[1][0])
