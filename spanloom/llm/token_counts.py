@@ -6,7 +6,9 @@ keeps the counts of the words it has met in a table of bounded size (it is empti
 time, never a result).
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each give a row; other
-columns are ignored; an empty table gives no rows. Memory follows one Arrow batch.
+columns are ignored; an empty table gives no rows. Memory follows one Arrow batch. Letters and numbers are those of
+the installed regex library; on characters that came into Unicode after the tokenizer library's table (version 16)
+the split into words, and so the count, may differ from that library's.
 """
 
 from __future__ import annotations

@@ -13,10 +13,12 @@ WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.p
 counter, library = token_counts.loaded(WORDS), Tokenizer.from_file(WORDS)
 pieces, model = sentence_pieces.loaded(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
 bits = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "▁", "日本", "🙂", "é", "é", "İ", "Σ", "ing", "'s", "<|endoftext|>", "<s>", "<0x0A>", "\x00", "1", "=====", "tion"]), max_size=14).map("".join)
+#: Characters that every Unicode table at hand knows: the regex library's is newer than the tokenizer library's.
+known = st.text(st.characters(exclude_categories=("Cs", "Cn")), max_size=40)
 
 
 @settings(max_examples=400, deadline=None)
-@given(bits | st.text(max_size=40))
+@given(bits | known)
 def test_counts_equal_the_library(text):
     assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
