@@ -73,10 +73,10 @@ def test_sheets_and_json(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    folder = tmp_path / "b"
-    folder.mkdir()
+    folder = tmp_path / "in" / "b"
+    folder.mkdir(parents=True)
     (folder / "1.txt").write_text("One. Two!\nThree")
-    query = paragraphs_stream(spark, str(tmp_path / "*")).writeStream.format("memory").queryName("pars").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query = paragraphs_stream(spark, str(tmp_path / "in" / "*")).writeStream.format("memory").queryName("pars").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [tuple(r) for r in spark.table("pars").orderBy("par_idx").collect()] == [("b", 1, 0, "One. Two!\n", 2), ("b", 1, 1, "Three", 1)]
 
