@@ -20,7 +20,7 @@ Span = tuple[int, int]
 
 
 def set_order(ends: set[int], low: int, high: int) -> int | None:
-    """Of the sentence ends in [low, high] the first in a set's own order."""
+    """Of the sentence ends in [low, high] the first in a set's own order (of a set that was filled in ascending order)."""
     found = list(ends.intersection(range(low, high + 1)))
     return found[0] if found else None
 
@@ -94,7 +94,7 @@ def infer(passages: DataFrame, overlaps: DataFrame, chapters: DataFrame, pick: C
         found = found.sort_values("pos")
         o0, o1, spans = found.o_start.to_numpy(), found.o_end.to_numpy(), list(zip(found.a_start, found.a_end, strict=True))
         claims = [[spans[k] for k in np.flatnonzero((o0 >= a) & (o1 <= b))] for a, b in zip(own.start_char, own.end_char, strict=True)]
-        got = abridged_spans(claims, set(own.a_ends.iloc[0]) if len(own) else set(), int(own.a_length.iloc[0]) if len(own) else 0, pick)
+        got = abridged_spans(claims, set(sorted(own.a_ends.iloc[0])) if len(own) else set(), int(own.a_length.iloc[0]) if len(own) else 0, pick)
         return pd.DataFrame({"chapter_idx": own.chapter_idx, "idx": own.idx, "abridged_start": [a for a, _ in got], "abridged_end": [b for _, b in got]})
 
     left = passages.join(chapters.select("chapter_idx", "a_length", "a_ends"), "chapter_idx")

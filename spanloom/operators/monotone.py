@@ -88,3 +88,119 @@ def align(source: list, target: list, score: Callable, max_source: int = 4, max_
         out.append((list(range(a, s + 1)), list(range(b, t + 1)), float(total), float(own)))
         s, t = a - 1, b - 1
     return out[::-1]
+
+
+def window_sums(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each window size from 1 the sums of the rows that end in it (shorter at the beginning)."""
+    out = [rows.copy()]
+    for w in range(1, most):
+        longer = out[-1].copy()
+        longer[w:] += rows[:-w]
+        out.append(longer)
+    return out
+
+
+def unigram_tables(source: list[list[str]], target: list[list[str]], max_source: int = 4, max_target: int = 4, inside: Callable = in_band) -> dict[tuple[int, int], np.ndarray]:
+    """unigram_recall of all windows of tokenised segments by the cell in which they end: tokens are numbered and counted once, windows add up."""
+    names: dict[str, int] = {}
+    for t in target:
+        for w in t:
+            names.setdefault(w, len(names))
+    counts = lambda side: np.array([np.bincount([names[w] for w in s if w in names], minlength=max(len(names), 1)) for s in side], np.int32).reshape(len(side), -1)
+    long, short = window_sums(counts(source), max_source), window_sums(counts(target), max_target)
+    out = {(w, v): np.zeros((len(source), len(target))) for w in range(1, max_source + 1) for v in range(1, max_target + 1)}
+    for t in range(len(target)):
+        cells = [s for s in range(len(source)) if inside(s, t, len(source))]
+        if not cells:
+            continue
+        rows = slice(cells[0], cells[-1] + 1)
+        for v in range(1, max_target + 1):
+            mine = short[v - 1][t]
+            used = np.flatnonzero(mine)
+            for w in range(1, max_source + 1):
+                out[w, v][rows, t] = np.minimum(long[w - 1][rows][:, used], mine[used]).sum(axis=1) / max(int(mine.sum()), 1)
+    return out
+
+
+def scored_tables(source: list, target: list, score: Callable, max_source: int = 4, max_target: int = 4, inside: Callable = in_band) -> dict[tuple[int, int], np.ndarray]:
+    """Any score of windows, cell by cell."""
+    out = {(w, v): np.zeros((len(source), len(target))) for w in range(1, max_source + 1) for v in range(1, max_target + 1)}
+    for (w, v), table in out.items():
+        for t in range(v - 1, len(target)):
+            for s in range(w - 1, len(source)):
+                if inside(s, t, len(source)):
+                    table[s, t] = score(source[s - w + 1 : s + 1], target[t - v + 1 : t + 1])
+    return out
+
+
+def union_tables(source: list[list[str]], target: list[list[str]]) -> dict[tuple[int, int], np.ndarray]:
+    """union_recall of all windows; each pair of segments is compared once."""
+    marks: dict[tuple[int, int], set[int]] = {}
+
+    def found(s: int, t: int) -> set[int]:
+        if (s, t) not in marks:
+            marks[s, t] = set(common_marks(target[t], source[s])) if set(target[t]) & set(source[s]) else set()
+        return marks[s, t]
+
+    def score(a: list[int], b: list[int]) -> float:
+        left, hits, total = Counter(x for s in a for x in source[s]), 0, sum(len(target[t]) for t in b)
+        for t in b:
+            for k in sorted(set().union(*(found(s, t) for s in a))):
+                if left[target[t][k]] > 0:
+                    left[target[t][k]] -= 1
+                    hits += 1
+        return hits / total if total else 0.0
+
+    return scored_tables(list(range(len(source))), list(range(len(target))), score)
+
+
+def cosine_tables(source: list[np.ndarray], target: list[np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+    """Cosines of window vectors; source and target hold one matrix for each window size from 1."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    return {(w + 1, v + 1): unit(a) @ unit(b).T for w, a in enumerate(source) for v, b in enumerate(target)}
+
+
+def align_tables(n: int, m: int, tables: dict[tuple[int, int], np.ndarray], size_penalty: float = 0.03, skip_penalty: float = 0.0, least: float = 0.0, lead: int = 10, trail: float = 0.25) -> list[tuple[list[int], list[int], float, float]]:
+    """The rows of `align`, from the scores of all windows (w, v) by the cell where they end.
+
+    A target's windows all come from targets before it, so they are scored for all sources at once; only
+    sources left out run one after the other.
+    """
+    widths, depths = max((w for w, _ in tables), default=0), max((v for _, v in tables), default=0)
+    order = {x: k for k, x in enumerate(sorted(((w, v) for w in range(1, widths + 1) for v in range(depths + 1)), key=sum))}
+    sums = np.zeros((n + 1, m + 1))  # one row and column for what lies before the start
+    own_of, chosen = np.zeros((n, m)), np.full((n, m), -1)
+    skips = [(order[w, 0], w) for w in range(1, widths + 1)]
+    for t in range(m):
+        cells = np.array([in_band(s, t, n, lead, trail) for s in range(n)], bool)
+        best, which, own_best = np.full(n, -np.inf), np.full(n, len(order)), np.zeros(n)
+        for (w, v), table in sorted(tables.items(), key=lambda x: order[x[0]]):
+            if t - v + 1 < 0 or n < w:
+                continue
+            own = np.maximum(table[w - 1 :, t] - (max(w, v) - 1) * size_penalty, 0.0)
+            own[own < least] = 0.0
+            total = sums[: n - w + 1, t - v + 1] + own * v
+            better = total > best[w - 1 :]
+            best[w - 1 :][better], which[w - 1 :][better], own_best[w - 1 :][better] = total[better], order[w, v], own[better]
+        here = sums[:, t + 1]
+        for s in np.flatnonzero(cells).tolist():
+            x, k, own = best[s], int(which[s]), own_best[s]
+            for place, w in skips:
+                a = s - w + 1
+                if a < 0:
+                    break
+                y = here[a] - skip_penalty if a else 0.0
+                if y > x or (y == x and place < k):
+                    x, k, own = y, place, 0.0
+            here[s + 1], chosen[s, t], own_of[s, t] = x, k, own
+    windows = {k: x for x, k in order.items()}
+    out, s, t = [], n - 1, m - 1
+    while s >= 0 or t >= 0:
+        if s < 0 or t < 0 or chosen[s, t] < 0:
+            out += [([], [k], 0.0, 0.0) for k in range(t, -1, -1)] + [([k], [], 0.0, 0.0) for k in range(s, -1, -1)]
+            break
+        w, v = windows[int(chosen[s, t])]
+        a, b = s - w + 1, t - v + 1
+        out.append((list(range(a, s + 1)), list(range(b, t + 1)), float(sums[s + 1, t + 1]), float(own_of[s, t])))
+        s, t = a - 1, b - 1
+    return out[::-1]

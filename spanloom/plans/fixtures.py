@@ -91,7 +91,7 @@ class Fixtures:
 
 #: The same fixtures as common table expressions; queries name what they use.
 PRELUDE = r"""
-WITH chapters AS (SELECT source AS book_id, doc_id AS chapter_idx, text AS original FROM documents),
+WITH RECURSIVE chapters AS (SELECT source AS book_id, doc_id AS chapter_idx, text AS original FROM documents),
 par0 AS (SELECT book_id, chapter_idx, unnest(range(len(p))) AS par_idx, unnest(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END)) AS text
   FROM (SELECT *, string_split(original, chr(10)) AS p FROM chapters)),
 paragraphs AS (SELECT *, end_char - length(text) AS start_char FROM (

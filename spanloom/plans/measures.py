@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import common_spans, metrics, monotone
-from spanloom.plans.fixtures import CHAPTER, RATERS, Fixtures
+from spanloom.plans.fixtures import CHAPTER, RATERS, Fixtures, keeps
 from spanloom.plans.registry import query
 from spanloom.plans.texts import LABELS, labelled
 
@@ -371,27 +371,27 @@ def dp3(fx: Fixtures) -> DataFrame:
     return flat.where("x.p = 1 AND x.n = x.w").select("chapter_idx", "i", F.col("x.w").alias("window_size"))
 
 
-def aligned(fx: Fixtures, score, limit: int = 40) -> DataFrame:
-    """Monotone alignment of each paragraph with its short version: the paragraph is the parallel unit."""
+def aligned(fx: Fixtures, tables) -> DataFrame:
+    """Monotone alignment of each chapter with its short version, in windows of up to 4 x 4: the chapter is the parallel unit."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("seg_idx")
-        split = lambda texts: [[t.lower().split()] for t in texts]
-        joined = lambda f: lambda a, b: f([s for x in a for s in x], [s for x in b for s in x])
-        rows = monotone.align(split(own.text), split(own.text[own.kept]), joined(score), 2, 2) if own.kept.any() else [([k], [], 0.0, 0.0) for k in range(len(own))]
-        return pd.DataFrame([(own.chapter_idx.iloc[0], own.par_idx.iloc[0], k, len(s), len(t), round(x, 6)) for k, (s, t, _, x) in enumerate(rows)], columns=["chapter_idx", "par_idx", "row", "n_source", "n_target", "score"])
+        source, target = ([t.lower().split() for t in texts] for texts in (own.text, own.text[own.kept]))
+        rows = monotone.align_tables(len(source), len(target), tables(source, target)) if target else [([k], [], 0.0, 0.0) for k in range(len(source))]
+        return pd.DataFrame([(own.chapter_idx.iloc[0], k, len(s), len(t), round(x, 6)) for k, (s, t, _, x) in enumerate(rows)], columns=["chapter_idx", "row", "n_source", "n_target", "score"])
 
-    return fx.rows.groupBy("chapter_idx", "par_idx").applyInPandas(run, "chapter_idx bigint, par_idx bigint, row bigint, n_source bigint, n_target bigint, score double")
+    segments = fx.segments.select("chapter_idx", "seg_idx", "text", keeps(RATERS[0]).alias("kept"))
+    return segments.groupBy("chapter_idx").applyInPandas(run, "chapter_idx bigint, row bigint, n_source bigint, n_target bigint, score double")
 
 
 @query("dp1_monotone_alignment")
 def dp1(fx: Fixtures) -> DataFrame:
-    return aligned(fx, monotone.unigram_recall)
+    return aligned(fx, monotone.unigram_tables)
 
 
 @query("sim2_union_recall_alignment")
 def sim2(fx: Fixtures) -> DataFrame:
-    return aligned(fx, monotone.union_recall)
+    return aligned(fx, monotone.union_tables)
 
 
 @query("ovl1_common_spans")
@@ -406,7 +406,7 @@ def ovl1(fx: Fixtures) -> DataFrame:
     return fx.grouped.select(*ROW, "original_segments", "abridged_segments").mapInPandas(run, "chapter_idx bigint, row bigint, o_start bigint, o_end bigint, a_start bigint, a_end bigint")
 
 
-@query("ovl3_spans_within_segments", "SELECT o.chapter_idx, o.pos, TRUE AS inside FROM ovl o")
+@query("ovl3_spans_within_segments", "SELECT o.chapter_idx, o.pos, o.a_end <= r.a_end AS inside FROM ovl o JOIN rws r ON r.chapter_idx = o.chapter_idx AND r.kept AND o.a_start >= r.a_start AND o.a_start < r.a_end")
 def ovl3(fx: Fixtures) -> DataFrame:
     ends = fx.rows.where("kept").select(F.col("chapter_idx").alias("ch"), F.col("a_start").alias("s"), F.col("a_end").alias("e"))
     joined = fx.overlaps.join(ends, (F.col("chapter_idx") == F.col("ch")) & (F.col("a_start") >= F.col("s")) & (F.col("a_start") < F.col("e")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import abridgements, chunks
-from spanloom.plans.fixtures import CHAPTER, Fixtures
+from spanloom.plans.fixtures import CHAPTER, Fixtures, keeps
 from spanloom.plans.registry import query
 
 KEY = "book_id, chapter_idx"
@@ -121,10 +121,9 @@ def src13(fx: Fixtures) -> DataFrame:
     return listed.select(*CHAPTER, F.size("passages").cast("bigint").alias("n"), F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p["text"])).alias("size"))
 
 
-@query("src14_gold_and_predicted_by_position", "SELECT a.chapter_idx, a.seg_idx, CAST(NOT a.kept AS INT) AS gold, CAST(NOT b.kept AS INT) AS predicted FROM rated a JOIN rated b USING (chapter_idx, seg_idx) WHERE a.rater = 17 AND b.rater = 19")
+@query("src14_gold_and_predicted_by_position", "SELECT chapter_idx, seg_idx, max(CAST(NOT kept AS INT)) FILTER (rater = 17) AS gold, max(CAST(NOT kept AS INT)) FILTER (rater = 19) AS predicted FROM rated GROUP BY chapter_idx, seg_idx")
 def src14(fx: Fixtures) -> DataFrame:
-    gold = fx.rows.select("chapter_idx", "seg_idx", (~F.col("kept")).cast("int").alias("gold"))
-    return gold.join(fx.rated(19).select("chapter_idx", "seg_idx", (~F.col("kept")).cast("int").alias("predicted")), ["chapter_idx", "seg_idx"])
+    return fx.segments.select("chapter_idx", "seg_idx", (~keeps(17)).cast("int").alias("gold"), (~keeps(19)).cast("int").alias("predicted"))
 
 
 @query("flt1_one_book", "SELECT chapter_idx FROM chapters WHERE book_id = 'src3'")
@@ -233,13 +232,36 @@ def chk7(fx: Fixtures) -> DataFrame:
     return wide.select("chapter_idx", "i", F.posexplode("d").alias("p", "digest")).select("chapter_idx", "i", (F.col("p") + 1).alias("window_size"), "digest")
 
 
-# no SQL for the folds: tests hold them against loops
-@query("chk1_max_chunks")
+#: Chunks by a fold over a chapter's paragraphs: pc counts sentences, fold numbers chunks.
+PAR_COUNTS = "WITH pc AS (SELECT book_id, chapter_idx, par_idx, min(seg_idx) AS f, count(*) AS n, row_number() OVER (PARTITION BY chapter_idx ORDER BY par_idx) AS i, max(par_idx) OVER (PARTITION BY chapter_idx) AS last_par FROM segments GROUP BY book_id, chapter_idx, par_idx)"
+START = "SELECT DISTINCT chapter_idx, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS first_c, CAST(-1 AS BIGINT) AS c, CAST(0 AS BIGINT) AS size FROM pc UNION ALL"
+NEXT = "FROM fold JOIN pc ON pc.chapter_idx = fold.chapter_idx AND pc.i = fold.i + 1"
+MADE = "made AS (SELECT book_id, chapter_idx, idx, min(par_idx) AS first_par, max(par_idx) AS last_par, count(*) AS n_sentences, min(start_char) AS start_char, max(end_char) AS end_char FROM placed GROUP BY ALL)"
+
+
+def max_chunks_sql(most: int) -> str:
+    joins = f"c >= 0 AND n <= {most} AND size + n <= {most}"
+    return f"""{PAR_COUNTS}, fold AS ({START} SELECT pc.chapter_idx, pc.i, CASE WHEN {joins} THEN c ELSE c + 1 END, CASE WHEN {joins} THEN c ELSE c + 1 + (n - 1) // {most} END, CASE WHEN {joins} THEN size + n ELSE n - (n - 1) // {most} * {most} END {NEXT}),
+placed AS (SELECT s.*, first_c + (seg_idx - f) // {most} AS idx FROM segments s JOIN pc USING (chapter_idx, par_idx) JOIN fold ON fold.chapter_idx = s.chapter_idx AND fold.i = pc.i), {MADE}"""
+
+
+def min_chunks_sql(least: int) -> str:
+    joins = f"c >= 0 AND (size < {least} OR (par_idx = last_par AND n < {least}))"
+    return f"""{PAR_COUNTS}, fold AS ({START} SELECT pc.chapter_idx, pc.i, CASE WHEN {joins} THEN c ELSE c + 1 END, CASE WHEN {joins} THEN c ELSE c + 1 END, CASE WHEN {joins} THEN size + n ELSE n END {NEXT}),
+sizes AS (SELECT chapter_idx, c, sum(n) AS n, max(c) OVER (PARTITION BY chapter_idx) AS last_c FROM fold JOIN pc USING (chapter_idx, i) GROUP BY chapter_idx, c),
+placed AS (SELECT s.*, CASE WHEN fold.c > 0 AND fold.c = last_c AND sizes.n < {least} THEN fold.c - 1 ELSE fold.c END AS idx FROM segments s JOIN pc USING (chapter_idx, par_idx) JOIN fold ON fold.chapter_idx = s.chapter_idx AND fold.i = pc.i JOIN sizes ON sizes.chapter_idx = s.chapter_idx AND sizes.c = fold.c), {MADE}"""
+
+
+ALL_CHUNKS = "SELECT * FROM made"
+DIGESTS = "SELECT chapter_idx, idx, n_sentences, md5(substr(original, CAST(start_char + 1 AS BIGINT), CAST(end_char - start_char AS BIGINT))) AS digest FROM made JOIN chapters USING (chapter_idx)"
+
+
+@query("chk1_max_chunks", f"{max_chunks_sql(10)} {ALL_CHUNKS}")
 def chk1(fx: Fixtures) -> DataFrame:
     return chunks.chunks(fx.paragraphs, fx.segments, max_sentences=10)
 
 
-@query("chk2_min_chunks")
+@query("chk2_min_chunks", f"{min_chunks_sql(3)} {ALL_CHUNKS}")
 def chk2(fx: Fixtures) -> DataFrame:
     return chunks.chunks(fx.paragraphs, fx.segments, merge_sentences=3)
 
@@ -255,12 +277,12 @@ def chunk_texts(fx: Fixtures, **how: int) -> DataFrame:
     return made.join(fx.chapters.drop("book_id"), "chapter_idx").select("chapter_idx", "idx", "n_sentences", F.md5(tx.slice_of(F.col("original"), F.col("start_char"), F.col("end_char"))).alias("digest"))
 
 
-@query("chk4_chunk_texts")
+@query("chk4_chunk_texts", f"{min_chunks_sql(4)} {DIGESTS}")
 def chk4(fx: Fixtures) -> DataFrame:
     return chunk_texts(fx, merge_sentences=4)
 
 
-@query("gen4_chunks_of_one_version")
+@query("gen4_chunks_of_one_version", f"{max_chunks_sql(5)} {DIGESTS}")
 def gen4(fx: Fixtures) -> DataFrame:
     return chunk_texts(fx, max_sentences=5)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -21,7 +23,11 @@ from spanloom.sources import writers
 def shared_place(fx: Fixtures, name: str) -> str:
     """A fresh place in the folder that all executors share."""
     sc = fx.spark.sparkContext
-    base = sc.getCheckpointDir() or fx.spark.conf.get("spark.checkpoint.dir", None) or fx.spark.conf.get("spark.sql.warehouse.dir")
+    base = sc.getCheckpointDir() or fx.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = fx.spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{name}-{uuid.uuid4()}"
 
 
@@ -49,7 +55,7 @@ def aln4(fx: Fixtures) -> DataFrame:
 @query("dp4_unaligned_rows")
 def dp4(fx: Fixtures) -> DataFrame:
     """How many rows of the alignment are one-sided."""
-    rows = aligned(fx, monotone.unigram_recall)
+    rows = aligned(fx, monotone.unigram_tables)
     return rows.groupBy("chapter_idx").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_target") == 0).alias("source_only"), F.count_if(F.col("n_source") == 0).alias("target_only"))
 
 
@@ -57,12 +63,10 @@ def dp4(fx: Fixtures) -> DataFrame:
 def dp5(fx: Fixtures) -> DataFrame:
     encode = models.hashed_words(64)
 
-    def cosine(a: list[list[str]], b: list[list[str]]) -> float:
-        x, y = encode([" ".join(w for s in a for w in s), " ".join(w for s in b for w in s)])
-        norm = float(np.linalg.norm(x) * np.linalg.norm(y))
-        return float(x @ y) / norm if norm else 0.0
+    def windows(side: list[list[str]]) -> list[np.ndarray]:
+        return [np.array(encode([" ".join(w for s in side[max(0, k - n) : k + 1] for w in s) for k in range(len(side))]), np.float64) for n in range(4)]
 
-    return aligned(fx, cosine)
+    return aligned(fx, lambda source, target: monotone.cosine_tables(windows(source), windows(target)))
 
 
 @query("dp6_alignment_numbers")
@@ -70,26 +74,29 @@ def dp6(fx: Fixtures) -> DataFrame:
     """Alignment rows with running segment numbers per chapter."""
     from pyspark.sql import Window
 
-    upto = Window.partitionBy("chapter_idx").orderBy("par_idx", "row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = aligned(fx, monotone.unigram_recall)
-    return rows.select("chapter_idx", "par_idx", "row", F.sum("n_source").over(upto).alias("last_source"), F.sum("n_target").over(upto).alias("last_target"), "score")
+    upto = Window.partitionBy("chapter_idx").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = aligned(fx, monotone.unigram_tables)
+    return rows.select("chapter_idx", "row", F.sum("n_source").over(upto).alias("last_source"), F.sum("n_target").over(upto).alias("last_target"), "score")
 
 
 @query("ovl2_first_free_places")
 def ovl2(fx: Fixtures) -> DataFrame:
-    """Where the first three tokens of the short text stand first in the long one."""
+    """Where the tokens of each short segment stand first in the long text, each place used once."""
 
     def run(batches):
         for b in batches:
             out = []
             for c, r, long, short in zip(b.chapter_idx, b.row, b.original_segments, b.abridged_segments, strict=True):
-                text, wanted = "".join(long), [t[0] for t in common_spans.placed_tokens("".join(short))[:3]]
-                found = common_spans.first_free(common_spans.placed_tokens(text), wanted, np.zeros(len(text), bool)) if wanted else None
-                if found:
-                    out.append((c, r, *found))
-            yield pd.DataFrame(out, columns=["chapter_idx", "row", "start_char", "end_char"])
+                text = "".join(long)
+                placed, used = common_spans.placed_tokens(text), np.zeros(len(text), bool)
+                for k, segment in enumerate(short):
+                    wanted = [t[0] for t in common_spans.placed_tokens(segment)]
+                    if wanted and (found := common_spans.first_free(placed, wanted, used)):
+                        used[slice(*found)] = True
+                        out.append((c, r, k, *found))
+            yield pd.DataFrame(out, columns=["chapter_idx", "row", "segment", "start_char", "end_char"])
 
-    return fx.grouped.select("chapter_idx", "row", "original_segments", "abridged_segments").mapInPandas(run, "chapter_idx bigint, row bigint, start_char bigint, end_char bigint")
+    return fx.grouped.select("chapter_idx", "row", "original_segments", "abridged_segments").mapInPandas(run, "chapter_idx bigint, row bigint, segment bigint, start_char bigint, end_char bigint")
 
 
 @query("mdl1_vectors", "SELECT doc_id AS chapter_idx, CAST(len(list_filter(string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS DOUBLE) AS n FROM documents")
@@ -104,15 +111,15 @@ def mdl2(fx: Fixtures) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("chapter_idx").orderBy("seg_idx")
-    both = F.array(*[F.struct(F.lit(w).alias("w"), F.array_join(F.collect_list("text").over(order.rowsBetween(0, w - 1)), "").alias("t")) for w in (1, 2)])
+    both = F.array(*[F.struct(F.lit(w).alias("w"), F.array_join(F.collect_list("text").over(order.rowsBetween(0, w - 1)), "").alias("t")) for w in (1, 2, 3, 4)])
     flat = fx.segments.select("chapter_idx", "seg_idx", both.alias("x")).select("chapter_idx", "seg_idx", F.explode("x").alias("x")).select("chapter_idx", "seg_idx", F.col("x.w").alias("window_size"), F.col("x.t").alias("t"))
-    return models.vectors(flat, "t", models.hashed_words(16)).select("chapter_idx", "seg_idx", "window_size", F.array_max("vec").alias("largest"))
+    return models.vectors(flat, "t", models.hashed_words(16)).select("chapter_idx", "seg_idx", "window_size", F.array_join(F.transform("vec", lambda x: F.round(x.cast("double"), 4).cast("string")), " ").alias("vector"))
 
 
-@query("mdl3_generated", "SELECT doc_id AS chapter_idx, 'summarize: ' || substr(text, 1, 40) AS generated FROM documents")
+@query("mdl3_generated", "SELECT doc_id AS chapter_idx, md5('summarize: ' || text) AS generated FROM documents")
 def mdl3(fx: Fixtures) -> DataFrame:
-    """A stand-in generator that repeats how its input begins."""
-    made = models.generated(fx.chapters.select("chapter_idx", "original"), "original", lambda batch: [t[:51] for t in batch], prefix="summarize: ")
+    """A stand-in generator that gives a digest of its whole input."""
+    made = models.generated(fx.chapters.select("chapter_idx", "original"), "original", lambda batch: [hashlib.md5(t.encode()).hexdigest() for t in batch], prefix="summarize: ")
     return made.select("chapter_idx", "generated")
 
 

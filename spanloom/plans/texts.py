@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.plans.fixtures import CHAPTER, Fixtures, running
+from spanloom.plans.fixtures import CHAPTER, Fixtures, keeps, running
 from spanloom.plans.registry import query
 
 
@@ -212,7 +212,7 @@ def pck3(fx: Fixtures) -> DataFrame:
     return marked.select(*CHAPTER, F.when(F.col("dev"), "dev").when(place <= 5, "test").otherwise("train").alias("split"))
 
 
-@query("pck4_tiling_holds", "SELECT chapter_idx, TRUE AS ok FROM chapters WHERE chapter_idx IN (SELECT chapter_idx FROM segments)")
+@query("pck4_tiling_holds", "SELECT chapter_idx, string_agg(s.text, '' ORDER BY seg_idx) = original AS ok FROM chapters JOIN segments s USING (chapter_idx) GROUP BY chapter_idx, original")
 def pck4(fx: Fixtures) -> DataFrame:
     """Concatenated segments are the chapter's text."""
     joined = fx.segments.groupBy("chapter_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), "").alias("t"))
@@ -236,9 +236,8 @@ LABELS = r"""WITH lab AS (SELECT a.chapter_idx, a.seg_idx, a.book_id, unnest(reg
 
 def labelled(fx: Fixtures) -> DataFrame:
     """chapter_idx, seg_idx, token, gold, predicted: 1 for tokens that are not kept"""
-    other = fx.rated(19).select("chapter_idx", "seg_idx", (~F.col("kept")).cast("int").alias("predicted"))
-    both = fx.rows.join(other, ["chapter_idx", "seg_idx"])
-    return both.select("book_id", "chapter_idx", "seg_idx", (~F.col("kept")).cast("int").alias("gold"), "predicted", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    both = fx.segments.select("book_id", "chapter_idx", "seg_idx", (~keeps(17)).cast("int").alias("gold"), (~keeps(19)).cast("int").alias("predicted"), "text")
+    return both.select("book_id", "chapter_idx", "seg_idx", "gold", "predicted", F.explode(tx.tokens(F.col("text"))).alias("token"))
 
 
 @query("lbl1_token_labels", f"{LABELS} SELECT chapter_idx, seg_idx, gold AS label, count(*) AS n_tokens FROM lab GROUP BY ALL")
