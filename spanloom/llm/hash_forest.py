@@ -36,7 +36,8 @@ class HashForest:
 
     def __init__(self, vectors: np.ndarray, trees: int, seed: int = 7):
         norms = np.linalg.norm(vectors, axis=1)
-        self.vectors, top = vectors.astype(np.float32), norms.max(initial=0)
+        self.vectors, self.rough, top = vectors, vectors.astype(np.float32), norms.max(initial=0)
+        self.top = top
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(top * top - norms * norms, 0))]).astype(np.float32)
         self.planes = np.random.default_rng(seed).standard_normal((trees, lifted.shape[1], 64), np.float32)
         self.trees = []
@@ -94,10 +95,12 @@ class HashForest:
         for i in range(0, len(queries), 512):
             part = queries[i : i + 512]
             for q, found in zip(part, self.candidates(part, wanted), strict=True):
-                rough = self.vectors[found] @ q.astype(np.float32)
-                if len(found) > 2 * k + 16:
-                    found = found[np.argpartition(-rough, 2 * k + 15)[: 2 * k + 16]]
-                exact = self.vectors[found].astype(np.float64) @ q
+                if len(found) > k:
+                    # single precision first; all that its error leaves open go on to the double product
+                    rough = self.rough[found] @ q.astype(np.float32)
+                    error = len(q) * 2.0**-22 * self.top * np.linalg.norm(q)
+                    found = found[~(rough < -np.partition(-rough, k - 1)[k - 1] - error)]
+                exact = self.vectors[found] @ q
                 best = np.lexsort((found, -exact))[:k]
                 out.append((found[best], exact[best]))
         return out

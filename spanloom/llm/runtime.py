@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +17,12 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "spanloom-checkpoints"))
 
 
@@ -52,8 +56,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def annotated(docs: DataFrame, column: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
-    """docs with further columns (name, SQL type) that a function of one column's Arrow array gives; whatever the other columns are called.
+    """docs with further columns (new name, SQL type) that a function of one column's Arrow array gives; whatever the other columns are called.
 
     make() runs once per task and returns the function.
     """
@@ -76,3 +87,18 @@ def written(df: DataFrame) -> DataFrame:
     out = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that `written` gave, once nothing reads it any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for name in {n.rsplit("/", 1)[0] for n in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.runtime import annotated, small_batches
+from spanloom.llm.runtime import annotated, fresh, small_batches
 
 
 BLANK = "▁"
@@ -226,12 +226,14 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
 
 
 def with_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """The documents, all columns kept but the text, which is what its ids give back, and ids and n_tokens."""
+    """The documents, all columns kept but the text, which is what its ids give back, and ids and n_tokens (which replace columns of these names)."""
 
     def code(column: pa.Array) -> list[pa.Array]:
         pieces = loaded(model)
         ids = pieces.encode([t or "" for t in column.to_pylist()])
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(pieces.decode(ids), pa.string())]
 
-    coded = annotated(docs, text, [("ids", "binary"), ("n_tokens", "bigint"), ("__decoded", "string")], lambda: code)
-    return coded.select(*[F.col("__decoded").alias(c) if c == text else c for c in docs.columns], "ids", "n_tokens")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("ids", "n_tokens") or c == text])
+    ids_, n_, decoded_ = (fresh(docs, c) for c in ("ids", "n_tokens", "decoded"))
+    coded = annotated(docs, text, [(ids_, "binary"), (n_, "bigint"), (decoded_, "string")], lambda: code)
+    return coded.select(*[F.col(decoded_).alias(c) if c == text else F.col(c) for c in docs.columns], F.col(ids_).alias("ids"), F.col(n_).alias("n_tokens"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.arrays import LOWER, U64, buffers, rows_of, slices, words
 from spanloom.llm.components import components
-from spanloom.llm.runtime import annotated, saved, small_batches
+from spanloom.llm.runtime import annotated, fresh, saved, small_batches
 
 SEED = 42
 SEGMENT_BITS = 1.415  # collision entropy of the popcount of two random bits
@@ -155,7 +155,8 @@ def one_of_each(docs: DataFrame, width: int = 5, distance: int = 4, text: str =
         parts = [fingerprints_of(cut, cut_offsets, width).view(np.int64) for _, _, cut, cut_offsets in slices(raw, offsets)]
         return [pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))]
 
-    named = by_fingerprint(saved(fingerprints(docs, width)), distance).toDF("__fp", "__root", "__component")
-    held = annotated(docs, text, [("__fp", "bigint")], lambda: prints_of).join(named, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    first = F.row_number().over(Window.partitionBy("__root").orderBy(text))
-    return held.withColumn("__rank", first).where("__rank = 1").select(*docs.columns)
+    fp, root, component, rank = (fresh(docs, c) for c in ("print", "root", "component", "rank"))
+    named = by_fingerprint(saved(fingerprints(docs, width)), distance).toDF(fp, root, component)
+    held = annotated(docs, text, [(fp, "bigint")], lambda: prints_of).join(named, fp).where(F.col("doc_id").eqNullSafe(F.col(component)))
+    first = F.row_number().over(Window.partitionBy(root).orderBy(text))
+    return held.withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)

@@ -7,7 +7,8 @@ own learning rate, and L1 leaves most weights at exactly zero, so the model is a
 
 Training takes a sample of at most `max_rows` labelled rows, those whose id hashes lowest, at most `epochs`
 times; all else covers every row. Defined cases: null and empty texts get the bias alone; a document labelled
-more than once takes the highest label, null labels count as none; without any label every score is 0;
+more than once takes the highest label, null labels count as none; of rows that share a key one is learned from (that
+with the least features); without any label every score is 0;
 repeated rows each give a row; other columns are ignored; empty tables give no rows.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrays import LOWER, PUNCTUATION, U64, buffers, mix, rows_of, slices, span_hashes, words
-from spanloom.llm.runtime import annotated, small_batches
+from spanloom.llm.runtime import annotated, fresh, small_batches
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
                 once = np.unique((row << bits) | at)
                 ends = np.searchsorted(once, np.arange(1, j - i + 1) << bits)
                 cut = np.split((once & ((1 << bits) - 1)).astype("<i4"), ends[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([c.tobytes() for c in cut], pa.binary())], ["order", "y", "at"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (0, 1)), pa.array([c.tobytes() for c in cut], pa.binary())], ["order", "y", "at"])
 
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(sample), "k")  # at most max_rows rows are broadcast
-    rows = texts.select(F.xxhash64("k").alias("order"), F.col("y").cast("int"), "t").mapInArrow(run, "order bigint, y int, at binary").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r["order"], r["at"]))
+    # of the rows that share a key one is learned from, so that max_rows is the only bound
+    rows = texts.select(F.xxhash64("k").alias("order"), F.col("y").cast("int"), "t").mapInArrow(run, "order bigint, y int, at binary").groupBy("order", "y").agg(F.min("at").alias("at")).collect()
+    rows.sort(key=lambda r: (r["order"], r["y"], r["at"]))
     return ftrl([(np.frombuffer(r["at"], "<i4").astype(np.int64), int(r["y"] > 0)) for r in rows], bits, alpha, beta, l1, l2, epochs)
 
 
@@ -122,5 +124,6 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The documents, all columns kept, whose score is under the threshold: one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = annotated(docs, text, [("__score", "double")], lambda: lambda column: [pa.array(shared.value.scores(column))])
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    score_ = fresh(docs, "score")
+    scored = annotated(docs, text, [(score_, "double")], lambda: lambda column: [pa.array(shared.value.scores(column))])
+    return scored.where(F.col(score_) < threshold).drop(score_)

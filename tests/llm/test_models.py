@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontamination, hash_forest, pitman_yor, toxicity
+from spanloom.llm import decontamination, hash_forest, pitman_yor, seating, toxicity
 from spanloom.llm.queries import op1_pitman_yor, op3_toxicity, op5_hash_prefix_forest, op8_benchmark_decontamination
 
 SF = "/root/testdata/sf0.001"
@@ -47,20 +47,99 @@ def test_texts_have_total_probability_one(spark):
     assert 0.98 < total < 1 + 1e-6
 
 
-def test_tables_opened_has_the_right_mean():
-    rng = np.random.default_rng(1)
-    d, theta, n = 0.5, 2.0, 60
-    t = pitman_yor.tables_opened(np.full(4000, n), np.full(4000, theta), d, rng)
-    dist = {1: 1.0}
-    for seated in range(1, n):
-        nxt = {}
-        for k, q in dist.items():
-            open_ = theta / (theta + seated - d * k)
-            nxt[k + 1] = nxt.get(k + 1, 0) + q * open_
-            nxt[k] = nxt.get(k, 0) + q * (1 - open_)
-        dist = nxt
-    assert t.mean() == pytest.approx(sum(k * q for k, q in dist.items()), rel=0.03)
-    assert (pitman_yor.tables_opened(np.array([1, 5000, 2]), np.array([1.0, 1.0, 1.0]), d, rng) <= [1, 5000, 2]).all()
+@pytest.mark.parametrize("n, d, w", [(2, 0.5, 1.0), (5, 0.8, 0.3), (30, 0.5, 2.0), (64, 0.8, 0.05), (66, 0.8, 0.3)])
+def test_seatings_have_the_posterior_number_of_tables(n, d, w):
+    """The weight of t tables is w^t times the generalised Stirling number of n and t."""
+    exact = {1: w}
+    for c in range(1, n):
+        exact = {t: w * exact.get(t - 1, 0) + (c - d * t) * exact.get(t, 0) for t in range(1, c + 2)}
+        total = sum(exact.values())
+        exact = {t: x / total for t, x in exact.items()}
+    rng, dishes = np.random.default_rng(3), 1500
+    c, t = np.full(dishes, n), np.ones(dishes, np.int64)
+    size, means = c.copy(), []
+    for sweep in range(60):
+        t, size = seating.swept(c, t, size, np.full(dishes, w), d, rng)
+        assert (np.add.reduceat(size, np.cumsum(t) - t) == n).all()
+        if sweep >= 20:
+            means.append(t.mean())
+    assert np.mean(means) == pytest.approx(sum(t * x for t, x in exact.items()), rel=0.02)
+
+
+def test_customers_come_and_leave():
+    rng = np.random.default_rng(5)
+    before, t, size, after = np.array([1, 5, 100, 3, 1]), np.array([1, 2, 3, 1, 1]), np.array([1, 2, 3, 50, 49, 1, 3, 1]), np.array([1, 3, 120, 3, 2])
+    t, size = seating.adjusted(before, t, size, after, rng)
+    assert (np.add.reduceat(size, np.cumsum(t) - t) == after).all() and (size > 0).all()
+
+
+class Restaurant:
+    """One customer after the other, each knowing its table."""
+
+    def __init__(self, parent, strength, discount, rng):
+        self.tables, self.parent, self.strength, self.discount, self.rng = {}, parent, strength, discount, rng
+
+    def probability(self, w):
+        c, t = sum(map(sum, self.tables.values())), sum(map(len, self.tables.values()))
+        mine = self.tables.get(w, [])
+        return (sum(mine) - self.discount * len(mine) + (self.strength + self.discount * t) * self.above(w)) / (self.strength + c)
+
+    def above(self, w):
+        return self.parent.probability(w) if isinstance(self.parent, Restaurant) else self.parent
+
+    def sit(self, w):
+        mine = self.tables.setdefault(w, [])
+        opening = (self.strength + self.discount * sum(map(len, self.tables.values()))) * self.above(w)
+        k = self.rng.choices(range(len(mine) + 1), [x - self.discount for x in mine] + [opening])[0]
+        if k == len(mine):
+            mine.append(1)
+            if isinstance(self.parent, Restaurant):
+                self.parent.sit(w)
+        else:
+            mine[k] += 1
+
+    def leave(self, w):
+        mine = self.tables[w]
+        k = self.rng.choices(range(len(mine)), mine)[0]
+        mine[k] -= 1
+        if not mine[k]:
+            del mine[k]
+            if isinstance(self.parent, Restaurant):
+                self.parent.leave(w)
+
+
+def test_scores_against_one_customer_at_a_time(spark):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(60)]
+    pick = lambda before: names[(int(rng.paretovariate(0.9)) + 7 * int(before[1:] or 0)) % 60]
+    rows = []
+    for i in range(60):
+        words = ["w"]
+        while len(words) < 12:
+            words.append(pick(words[-1]))
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.score for r in pitman_yor.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 40, burn_in=8, samples=20).collect()}
+    pairs = lambda text: list(zip(["<s>", *tokens(text)], tokens(text), strict=False))
+    counts = Counter(x for i, t in rows if i < 40 for x in pairs(t))
+    rate = lambda c: min(0.95, max(0.05, c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5))
+    seen = Counter(w for _, w in counts)
+    d, d0 = rate(Counter(counts.values())), rate(Counter(seen.values()))
+    top = Restaurant(1 / (len(seen) + 1), 5.0, d0, rng)
+    rooms = {u: Restaurant(top, 5.0, d, rng) for u in {u for u, _ in counts}}
+    everyone = list(counts.elements())
+    for u, w in everyone:
+        rooms[u].sit(w)
+    sums = Counter()
+    for sweep in range(40):
+        for u, w in everyone:
+            rooms[u].leave(w)
+            rooms[u].sit(w)
+        if sweep >= 10:
+            for u, w in {x for _, t in rows for x in pairs(t)}:
+                sums[u, w] += rooms[u].probability(w) / 30
+    for i, t in rows:
+        assert got[i] == pytest.approx(sum(math.log10(sums[x]) for x in pairs(t)), rel=0.06)
+    assert sum(got.values()) == pytest.approx(sum(math.log10(sums[x]) for _, t in rows for x in pairs(t)), rel=0.015)
 
 
 def test_scores_of_awkward_rows(docs, awkward, nothing):
