@@ -53,12 +53,14 @@ def brute_bytes(rows, length):
 
 
 def brute_lines(rows):
-    lines = sorted(((LAST if k is None else k), j, frozenset(split(l))) for k, t in rows for j, l in enumerate((t or "").split("\n")))
+    """Lines in the order of key, hash of the text (as a signed number), line number; rows equal in both count once."""
+    named = {(LAST if k is None else k, (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)): t or "" for k, t in rows}
+    lines = sorted((*name, j, frozenset(split(l))) for name, t in named.items() for j, l in enumerate(t.split("\n")))
     gone = set()
-    for i, (k, j, s) in enumerate(lines):
-        if s and any((a, b) < (k, j) and o and 9 * len(s & o) >= 4 * (len(s) + len(o)) for a, b, o in lines[:i]):
-            gone.add((k, j))
-    return [(k, len((t or "").split("\n")), [j for j in range(len((t or "").split("\n"))) if ((LAST if k is None else k), j) in gone]) for k, t in rows]
+    for i, (k, h, j, s) in enumerate(lines):
+        if s and any(o and 9 * len(s & o) >= 4 * (len(s) + len(o)) for *_, o in lines[:i]):
+            gone.add((named[k, h], k, j))
+    return [(k, len((t or "").split("\n")), [j for j in range(len((t or "").split("\n"))) if (t or "", LAST if k is None else k, j) in gone]) for k, t in rows]
 
 
 def brute_components(rows, width=4, distance=4):
@@ -126,12 +128,32 @@ def test_bytes(table, part, monkeypatch):
 
 
 def test_lines(table):
-    got = {repr((r.doc_id, r.n_lines, r.removed_lines)) for r in line_dedup.line_removals(table).collect()}
-    rows = rows_of(table)
-    if len({k for k, _ in rows}) == len(rows):
-        assert got == {repr(x) for x in brute_lines(rows)}
+    rows, wanted = rows_of(table), brute_lines(rows_of(table))
+    assert in_order((r.doc_id, r.n_lines, r.removed_lines) for r in line_dedup.line_removals(table).collect()) == in_order(wanted)
+    texts = [(k, t if t is None or not gone else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)) for (k, t), (_, _, gone) in zip(rows, wanted, strict=True)]
     kept = line_dedup.without_repeated_lines(table)
-    assert kept.columns == table.columns and kept.count() == len(rows)
+    assert kept.columns == table.columns and in_order(rows_of(kept)) == in_order(texts)
+
+
+def test_rows_of_one_key_keep_their_own_lines(spark):
+    a, b = "one unique line of its own here\nalpha beta gamma delta", "nothing in common with others\nsecond totally unrelated text"
+    rows = [(None, a), (None, b), (1, "alpha beta gamma delta"), (-5, "below zero"), (None, b)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS lines", "2 AS gone", "3 AS row", "4 AS rk", "5 AS c0")
+    got = in_order((r.doc_id, r.n_lines, r.removed_lines) for r in line_dedup.line_removals(table).collect())
+    assert got == in_order([(None, 2, [1]), (None, 2, []), (None, 2, []), (1, 1, []), (-5, 1, [])])
+    assert line_dedup.without_repeated_lines(table).columns == table.columns
+
+
+@pytest.mark.parametrize("up, down", [(4, 5), (1, 2), (9, 10)])
+def test_lines_at_other_thresholds_and_in_dense_groups(spark, up, down):
+    rng = random.Random(up)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 14))] for _ in range(8)]
+    lines = [" ".join(w if rng.random() < 0.9 else f"w{rng.randrange(60)}" for w in rng.choice(base)) for _ in range(260)]
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(65)]
+    flat = [(i, j, frozenset(split(l))) for i, t in rows for j, l in enumerate(t.split("\n"))]
+    wanted = {(i, j) for n, (i, j, s) in enumerate(flat) if any(down * len(s & o) >= up * len(s | o) for _, _, o in flat[:n])}
+    got = line_dedup.line_removals(spark.createDataFrame(rows, "doc_id bigint, text string"), up, down).collect()
+    assert {(r.doc_id, j) for r in got for j in r.removed_lines} == wanted
 
 
 def test_components(table):
