@@ -80,12 +80,12 @@ def annotated(docs: DataFrame, column: str, fields: list[tuple[str, str]], make:
     return docs.toDF(*schema.names[: len(docs.columns)]).mapInArrow(run, schema).toDF(*docs.columns, *(name for name, _ in fields))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a compressed table in the shared folder, read back."""
+def written(df: DataFrame, hashes: bool = False) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read back. hashes: most values are hashes, of which no dictionary is tried."""
     spark = df.sparkSession
     shared_folder(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(out)
+    df.write.option("compression", "lz4_raw" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(out)
     return spark.read.parquet(out)
 
 
