@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +100,17 @@ def split_book(lines: Iterable[str]) -> list[Chapter]:
                     continue
             now.lines.append(line)
     raise ValueError("the book has no end line")
+
+
+def split_books(books: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
+    """key, pos (from 0), book_num, book_title, number, title and lines of each chapter of each book's text; one book is one row, so nothing moves."""
+    kind = books.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in batches:
+            found = [(k, i, c.book, c.book_title, c.number, c.title, c.lines) for k, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for i, c in enumerate(split_book(t.split("\n")))]
+            out = pd.DataFrame(found, columns=["key", "pos", "book_num", "book_title", "number", "title", "lines"])
+            yield out.astype({"book_num": "Int64", "number": "Int64", "pos": "int64"})
+
+    made = books.where(books[text].isNotNull()).select(key, text).mapInPandas(run, f"key {kind}, pos bigint, book_num bigint, book_title string, number bigint, title string, lines array<string>")
+    return made.withColumnRenamed("key", key)

@@ -285,11 +285,6 @@ def agg22(fx: Fixtures) -> DataFrame:
     return fx.segments.select("book_id", "text").distinct().groupBy("book_id").agg(F.count("*").alias("n"))
 
 
-@query("snk5_scores_by_book", f"{PAIRS} SELECT book_id, round(avg(precision), 5) AS precision FROM sc GROUP BY ALL")
-def snk5(fx: Fixtures) -> DataFrame:
-    return scores(fx).groupBy("book_id").agg(F.round(F.avg("precision"), 5).alias("precision"))
-
-
 DISAGREE = f"{PAIRS} SELECT rater, chapter_idx, o, a FROM (SELECT *, count(*) OVER (PARTITION BY chapter_idx, o, a) AS n FROM lp) WHERE n = 1"
 
 
@@ -300,9 +295,6 @@ def jn9(fx: Fixtures) -> DataFrame:
     return rater_pairs(fx).select("rater", "chapter_idx", "o", "a", alone.alias("n")).where("n = 1").drop("n")
 
 
-query("snk6_disagreements", DISAGREE)(lambda fx: jn9(fx))
-
-
 @query("jn4_predicted_and_gold_rows", "SELECT p.chapter_idx, count(*) AS n FROM alignments p JOIN alignments g USING (book_id, chapter_idx, row) WHERE p.rater = 19 AND g.rater = 17 GROUP BY ALL")
 def jn4(fx: Fixtures) -> DataFrame:
     return fx.alignment(19).select(*CHAPTER, "row").join(fx.alignment(17).select(*CHAPTER, "row"), [*CHAPTER, "row"]).groupBy("chapter_idx").agg(F.count("*").alias("n"))

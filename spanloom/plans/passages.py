@@ -105,16 +105,6 @@ def src10(fx: Fixtures) -> DataFrame:
     return read.select("chapter_idx", F.aggregate("j.predicted_labels", F.lit(0).cast("bigint"), lambda a, y: a + y).alias("n_removed"), F.size("j.predicted_labels").cast("bigint").alias("n_labels"))
 
 
-@query("src11_vectors_up_to_window", "SELECT label % 4 + 1 AS window_size, count(*) AS n FROM embeddings WHERE label % 4 + 1 <= 2 GROUP BY 1")
-def src11(fx: Fixtures) -> DataFrame:
-    return fx.table("embeddings").select((F.col("label") % 4 + 1).alias("window_size")).where("window_size <= 2").groupBy("window_size").agg(F.count("*").alias("n"))
-
-
-@query("src12_items_with_other_keys", "SELECT conv_id, turn, role FROM conversations WHERE text IS NOT NULL")
-def src12(fx: Fixtures) -> DataFrame:
-    return fx.table("conversations").where("text IS NOT NULL").drop("text")
-
-
 @query("src13_passages_by_chapter", f"SELECT {KEY}, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM paragraphs GROUP BY ALL")
 def src13(fx: Fixtures) -> DataFrame:
     listed = fx.paragraphs.groupBy(*CHAPTER).agg(F.array_sort(F.collect_list(F.struct("par_idx", "text"))).alias("passages"))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import abridgements, common_spans, models, monotone
 from spanloom.plans.fixtures import CHAPTER, Fixtures
-from spanloom.plans.measures import aligned
+from spanloom.plans.measures import DISAGREE, PAIRS, aligned, jn9, scores
 from spanloom.plans.passages import short_chapters
 from spanloom.plans.registry import query
 from spanloom.plans.texts import labelled
-from spanloom.sources import writers
+from spanloom.sources import readers, writers
 
 
 def shared_place(fx: Fixtures, name: str) -> str:
@@ -151,8 +151,6 @@ def snk4(fx: Fixtures) -> DataFrame:
 
 @query("snk7_vectors", "SELECT label % 4 AS window_size, count(*) AS n FROM embeddings WHERE label % 4 <= 2 GROUP BY ALL")
 def snk7(fx: Fixtures) -> DataFrame:
-    from spanloom.sources import readers
-
     path = shared_place(fx, "vectors")
     writers.write_vectors(fx.table("embeddings").select((F.col("label") % 4).alias("window_size"), "vec_id", F.col("embedding").alias("vec")), path)
     return readers.vectors(fx.spark, path, 2).groupBy("window_size").agg(F.count("*").alias("n"))
@@ -163,3 +161,66 @@ def snk9(fx: Fixtures) -> DataFrame:
     path = shared_place(fx, "labels")
     writers.write_json(labelled(fx).groupBy(*CHAPTER).agg(F.collect_list("token").alias("tokens"), F.collect_list("gold").alias("labels")), path)
     return fx.spark.read.json(path).select("chapter_idx", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query("snk2_review_sheet", "SELECT chapter_idx, row, array_to_string(list_transform(original_segments, lambda s, i: '[' || original_nums[i] || '] ' || s), chr(9)) AS original_cell FROM grouped")
+def snk2(fx: Fixtures) -> DataFrame:
+    path = shared_place(fx, "sheet")
+    writers.write_sheet(fx.grouped.select("chapter_idx", "row", writers.sheet_cell(F.col("original_nums"), F.col("original_segments")).alias("original_cell")), path)
+    return readers.sheets(fx.spark, path).select(F.col("chapter_idx").cast("bigint"), F.col("row").cast("bigint"), "original_cell")
+
+
+@query("snk5_scores_by_book", f"{PAIRS} SELECT book_id, round(avg(precision), 5) AS precision FROM sc GROUP BY ALL")
+def snk5(fx: Fixtures) -> DataFrame:
+    path = shared_place(fx, "scores")
+    writers.write_scores(scores(fx).groupBy("book_id").agg(F.round(F.avg("precision"), 5).alias("precision")), path, ["book_id"])
+    return fx.spark.read.option("header", True).schema("book_id string, precision double").csv(path)
+
+
+@query("snk6_disagreements", DISAGREE)
+def snk6(fx: Fixtures) -> DataFrame:
+    path = shared_place(fx, "disagreements")
+    found = jn9(fx)
+    writers.write_sheet(found.orderBy("chapter_idx", "o", "a", "rater"), path)
+    read = readers.sheets(fx.spark, path)
+    return read.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in found.schema])
+
+
+@query("snk8_flat_pairs", "SELECT book_id, chapter_idx, text AS original, abridged FROM rws")
+def snk8(fx: Fixtures) -> DataFrame:
+    path = shared_place(fx, "pairs")
+    writers.write_json(fx.rows.select(*CHAPTER, F.col("text").alias("original"), "abridged"), path)
+    return fx.spark.read.schema("book_id string, chapter_idx bigint, original string, abridged string").json(path)
+
+
+TILED = "SELECT chapter_idx, count(*) AS n_segments, CAST(count(*) FILTER (kept) AS BIGINT) AS n_kept, CAST(count(DISTINCT par_idx) AS BIGINT) AS n_paragraphs, md5(string_agg(text, '' ORDER BY seg_idx)) AS original_md5, md5(string_agg(abridged, '' ORDER BY seg_idx)) AS abridged_md5"
+
+
+@query("snk10_packed_chapters", f"{TILED}, TRUE AS tiles FROM rws GROUP BY ALL HAVING count(*) FILTER (kept) > 0")
+def snk10(fx: Fixtures) -> DataFrame:
+    """Packed, written, read back: segments and paragraphs of both versions are the text again."""
+    path = shared_place(fx, "packed")
+    short = fx.rows.where("kept").select(*CHAPTER, "seg_idx", "par_idx", F.col("a_start").alias("start_char"), F.col("a_end").alias("end_char"), F.col("abridged").alias("text"))
+    sides = [writers.packed_version(s).withColumnRenamed("v", name) for s, name in ((fx.segments, "original"), (short, "abridged"))]
+    writers.write_packed(fx.chapters.select(*CHAPTER).join(sides[0], "chapter_idx").join(sides[1], "chapter_idx"), path)
+    read = readers.packed_lines(fx.spark, path)
+    text = lambda v: F.col(f"{v}.text")
+    again = lambda v, c: F.array_join(F.transform(F.col(f"{v}.{c}"), lambda s: F.substring(text(v), s["start"] + 1, s["end"] - s["start"])), "") == text(v)
+    tiles = again("original", "segments") & again("original", "paragraphs") & again("abridged", "segments") & again("abridged", "paragraphs")
+    n = lambda c: F.size(c).cast("bigint")
+    return read.select("chapter_idx", n("original.segments").alias("n_segments"), n("abridged.segments").alias("n_kept"), n("original.paragraphs").alias("n_paragraphs"), F.md5(text("original")).alias("original_md5"), F.md5(text("abridged")).alias("abridged_md5"), tiles.alias("tiles"))
+
+
+@query("src11_vectors_up_to_window", "SELECT label % 4 + 1 AS window_size, count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) AS n_components FROM embeddings WHERE label % 4 + 1 <= 2 GROUP BY 1")
+def src11(fx: Fixtures) -> DataFrame:
+    path = shared_place(fx, "vectors")
+    writers.write_vectors(fx.table("embeddings").select((F.col("label") % 4 + 1).alias("window_size"), F.col("embedding").alias("vec")), path)
+    return readers.vectors(fx.spark, path, 2).groupBy("window_size").agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("n_components"))
+
+
+@query("src12_items_with_other_keys", "SELECT conv_id, turn, role FROM conversations WHERE text IS NOT NULL")
+def src12(fx: Fixtures) -> DataFrame:
+    path, table = shared_place(fx, "items"), fx.table("conversations")
+    writers.write_items(table, path)
+    read = readers.items(fx.spark, path, one_per_file=False).where("text IS NOT NULL").drop("text")
+    return read.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema if f.name in ("conv_id", "turn", "role")])

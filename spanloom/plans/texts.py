@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
@@ -77,14 +77,25 @@ def p7(fx: Fixtures) -> DataFrame:
     return miss(a, b, "left").unionByName(miss(b, a, "right"))
 
 
-@query("p1_headings_open_chapters", "WITH l AS (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), h AS (SELECT *, line LIKE 'The %' OR k = 0 AS opens FROM l), c AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS part FROM h) SELECT doc_id AS chapter_idx, CAST(part AS BIGINT) AS part, count(*) AS n_lines, min(k) AS first_line FROM c GROUP BY ALL")
+BOOKS = """WITH p AS (SELECT chapter_idx, par_idx, regexp_replace(text, '\\s+$', '') AS line, row_number() OVER (PARTITION BY chapter_idx ORDER BY par_idx) AS n FROM par0 WHERE trim(text, chr(10) || chr(9) || chr(13) || ' ') <> '')"""
+
+
+@query("p1_chapters_of_books", f"{BOOKS} SELECT chapter_idx, n - 1 AS pos, (n + 3) // 4 AS book_num, 'Part ' || ((n + 3) // 4) AS book_title, n AS number, CASE WHEN n % 2 = 0 THEN 'Of number ' || n END AS title, CAST(1 AS BIGINT) AS n_lines, md5(line) AS digest FROM p")
 def p1(fx: Fixtures) -> DataFrame:
-    """Lines belong to the last heading before them: a running count of headings names the part."""
-    from spanloom.operators.chapter_split import numbered_parts
+    """Books built of headed paragraphs (a section each four, every other chapter with a title) come apart into these again."""
+    from spanloom.operators.chapter_split import split_books
+
+    bare = F.filter(F.transform(F.split("original", "\n", -1), lambda p: F.regexp_replace(p, r"\s+$", "")), lambda p: p != "")
 
-    lines = fx.chapters.select("chapter_idx", F.posexplode(F.split("original", "\n", -1)).alias("k", "line"))
-    parts = numbered_parts(lines, (F.col("line").startswith("The ")) | (F.col("k") == 0))
-    return parts.groupBy("chapter_idx", "part").agg(F.count("*").alias("n_lines"), F.min("k").cast("bigint").alias("first_line"))
+    def headed(p: Column, i: Column) -> Column:
+        n = (i + 1).cast("string")
+        section = F.when(i % 4 == 0, F.concat(F.lit("Book "), (i / 4 + 1).cast("int").cast("string"), F.lit(". Part "), (i / 4 + 1).cast("int").cast("string"), F.lit("\n"))).otherwise("")
+        title = F.when((i + 1) % 2 == 0, F.concat(F.lit(". Of number "), n)).otherwise("\n-")
+        return F.concat(section, F.lit("Chapter "), n, title, F.lit("\n"), p)
+
+    books = fx.chapters.select("chapter_idx", F.concat(F.array_join(F.transform(bare, headed), "\n"), F.lit("\nThe End")).alias("text"))
+    found = split_books(books, "chapter_idx")
+    return found.select("chapter_idx", "pos", "book_num", "book_title", "number", "title", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
 ABBREVIATED = ", ".join("'" + a + "'" for a in tx.ABBREVIATIONS)
@@ -170,26 +181,6 @@ def val1(fx: Fixtures) -> DataFrame:
     return out.where((F.size("original") > 0) | (F.size("abridged") > 0))
 
 
-@query("snk2_review_sheet", "SELECT chapter_idx, row, array_to_string(list_transform(original_segments, lambda s, i: '[' || original_nums[i] || '] ' || s), chr(9)) AS original_cell FROM grouped")
-def snk2(fx: Fixtures) -> DataFrame:
-    from spanloom.sources.writers import sheet_cell
-
-    return fx.grouped.select("chapter_idx", "row", sheet_cell(F.col("original_nums"), F.col("original_segments")).alias("original_cell"))
-
-
-@query("snk8_flat_pairs", "SELECT book_id, chapter_idx, text AS original, abridged FROM rws")
-def snk8(fx: Fixtures) -> DataFrame:
-    return fx.rows.select(*CHAPTER, F.col("text").alias("original"), "abridged")
-
-
-@query("snk10_packed_chapters", "SELECT chapter_idx, CAST(count(*) AS BIGINT) AS n_segments, max(end_char) AS size, max(par_idx) + 1 AS n_paragraphs FROM segments GROUP BY ALL")
-def snk10(fx: Fixtures) -> DataFrame:
-    from spanloom.sources.writers import packed_version
-
-    packed = packed_version(fx.segments)
-    return packed.select("chapter_idx", F.size("v.segment_chars").cast("bigint").alias("n_segments"), F.length("v.text").cast("bigint").alias("size"), (F.element_at("v.paragraph_nums", -1)).alias("n_paragraphs"))
-
-
 @query("pck1_restored_breaks", "SELECT chapter_idx, seg_idx, text || CASE WHEN lead(par_idx) OVER w <> par_idx THEN chr(10) ELSE '' END AS text FROM (SELECT chapter_idx, seg_idx, par_idx, rtrim(text, chr(10)) AS text FROM segments) WINDOW w AS (PARTITION BY chapter_idx ORDER BY seg_idx)")
 def pck1(fx: Fixtures) -> DataFrame:
     bare = fx.segments.select("chapter_idx", "seg_idx", "par_idx", F.regexp_replace("text", "\n+$", "").alias("text"))
@@ -205,11 +196,15 @@ def pck2(fx: Fixtures) -> DataFrame:
 
 @query("pck3_hash_split", f"SELECT book_id, chapter_idx, CASE WHEN r0 = 1 THEN 'dev' WHEN r <= 5 THEN 'test' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY book_id, r0 = 1 ORDER BY md5(CAST(chapter_idx AS VARCHAR))) AS r FROM (SELECT book_id, chapter_idx, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx) AS r0 FROM chapters))")
 def pck3(fx: Fixtures) -> DataFrame:
-    """The first chapter is dev; of the others the first five in hash order are test."""
-    first = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_idx")) == 1
-    marked = fx.chapters.select(*CHAPTER, first.alias("dev"))
-    place = F.row_number().over(Window.partitionBy("book_id", "dev").orderBy(F.md5(F.col("chapter_idx").cast("string"))))
-    return marked.select(*CHAPTER, F.when(F.col("dev"), "dev").when(place <= 5, "test").otherwise("train").alias("split"))
+    """The first chapter is dev; of the others the first five in hash order are test. Only these few of a book meet, after a limit in each task."""
+    keys = fx.chapters.select(*CHAPTER)
+    dev = keys.groupBy("book_id").agg(F.min("chapter_idx").alias("dev"))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.md5(F.col("chapter_idx").cast("string"))))
+    early = keys.withColumn("place", place).where("place <= 6").join(dev, "book_id")
+    others = F.count_if(F.col("chapter_idx") != F.col("dev")).over(Window.partitionBy("book_id").orderBy("place"))
+    test = early.withColumn("others", others).where("chapter_idx <> dev AND others <= 5").select(*CHAPTER, F.lit("test").alias("split"))
+    chosen = test.unionByName(dev.select("book_id", F.col("dev").alias("chapter_idx"), F.lit("dev").alias("split")))
+    return keys.join(chosen, CHAPTER, "left").select(*CHAPTER, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 @query("pck4_tiling_holds", "SELECT chapter_idx, string_agg(s.text, '' ORDER BY seg_idx) = original AS ok FROM chapters JOIN segments s USING (chapter_idx) GROUP BY chapter_idx, original")
@@ -297,7 +292,13 @@ def ext5(fx: Fixtures) -> DataFrame:
 
 @query("win1_numbered_passages", "SELECT book_id, chapter_idx, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx) - 1 AS idx FROM chapters")
 def win1(fx: Fixtures) -> DataFrame:
-    return fx.chapters.select(*CHAPTER, (F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_idx")) - 1).cast("bigint").alias("idx"))
+    """Counts of blocks of chapter numbers give each block its first index, so no task holds a whole book."""
+    blocks = fx.chapters.select(*CHAPTER, F.floor(F.col("chapter_idx") / 65536).alias("block"))
+    upto = Window.partitionBy("book_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.groupBy("book_id", "block").agg(F.count("*").alias("n"))
+    first = sizes.select("book_id", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("book_id", "block").orderBy("chapter_idx")) - 1
+    return blocks.join(first, ["book_id", "block"]).select(*CHAPTER, (F.col("before") + inside).cast("bigint").alias("idx"))
 
 
 @query("win2_running_offsets", "SELECT chapter_idx, par_idx, end_char AS upto FROM paragraphs")

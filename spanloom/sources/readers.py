@@ -23,12 +23,20 @@ def spans(pairs: Column) -> Column:
 def packed_chapters(spark: SparkSession, glob: str) -> DataFrame:
     """book_id, chapter_idx and per version text, paragraphs, segments, rows, overlaps (arrays of (start, end))."""
     raw = spark.read.schema(PACKED).option("multiLine", True).json(glob).select("*", "_metadata.file_path")
+    return unpacked(raw, *chapter_key(F.col("file_path")))
 
+
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from one chapter a line, which names its chapter; the folder names the book."""
+    return unpacked(spark.read.schema(f"book_id string, chapter_idx bigint, {PACKED}").json(path), F.col("book_id"), F.col("chapter_idx"))
+
+
+def unpacked(raw: DataFrame, *key: Column) -> DataFrame:
     def version(name: str) -> Column:
         kinds = (("paragraph_chars", "paragraphs"), ("segment_chars", "segments"), ("row_chars", "rows"), ("overlap_chars", "overlaps"))
         return F.struct(F.col(f"{name}.text").alias("text"), *[spans(F.col(f"{name}.{a}")).alias(b) for a, b in kinds]).alias(name)
 
-    return raw.select(*chapter_key(F.col("file_path")), version("original"), version("abridged"))
+    return raw.select(*key, version("original"), version("abridged"))
 
 
 def metadata_rows(values: DataFrame, split: str | None = None) -> DataFrame:
@@ -90,7 +98,7 @@ def sheet_validator(name: Column) -> Column:
 
 
 def sheets(spark: SparkSession, glob: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(glob)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(glob)
     return raw.select("*", sheet_validator(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("validator"))
 
 
@@ -102,9 +110,9 @@ def vectors(spark: SparkSession, path: str, max_window: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("window_size") <= max_window)
 
 
-def items(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of objects with text and whatever else."""
-    return spark.read.option("multiLine", True).json(path)
+def items(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """JSON lists of objects with text and whatever else: one list a file, or one a line."""
+    return spark.read.option("multiLine", one_per_file).json(path)
 
 
 def plain_chapters(spark: SparkSession, glob: str) -> DataFrame:

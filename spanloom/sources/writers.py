@@ -27,7 +27,19 @@ def write_json(df: DataFrame, path: str, by: str | None = "book_id") -> None:
 
 
 def write_sheet(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Cells as they are, blanks at their ends included."""
+    whole = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**whole).csv(path)
+
+
+def write_packed(df: DataFrame, path: str) -> None:
+    """book_id, chapter_idx and a struct per version: one chapter to a line, in a folder per book."""
+    df.write.partitionBy("book_id").json(path)
+
+
+def write_items(df: DataFrame, path: str) -> None:
+    """A JSON list to a line, as `readers.items` reads them with one_per_file=False."""
+    df.select(F.to_json(F.array(F.struct(*df.columns))).alias("value")).write.text(path)
 
 
 def write_texts(df: DataFrame, path: str) -> None:
@@ -36,7 +48,8 @@ def write_texts(df: DataFrame, path: str) -> None:
 
 
 def write_scores(df: DataFrame, path: str, order: list[str]) -> None:
-    df.coalesce(1).orderBy(*order).write.option("header", True).csv(path)
+    """Sorted through all files: their names follow the order."""
+    df.orderBy(*order).write.option("header", True).csv(path)
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
