@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ def hashed_words(size: int) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), size), np.float32)
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                out[i, zlib.crc32(w.encode()) % size] += 1
+                out[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % size] += 1
         return out
 
     return encode

@@ -106,7 +106,11 @@ def mdl1(fx: Fixtures) -> DataFrame:
     return vectors.select("chapter_idx", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("n"))
 
 
-@query("mdl2_window_vectors")
+WINDOWS = " UNION ALL ".join(f"SELECT chapter_idx, seg_idx, {n} AS window_size, string_agg(text, '') OVER (PARTITION BY chapter_idx ORDER BY seg_idx ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS t FROM segments" for n in (1, 2, 3, 4))
+BUCKETS = "list_transform(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> ''), lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 16)"
+
+
+@query("mdl2_window_vectors", f"WITH t AS ({WINDOWS}), b AS (SELECT *, {BUCKETS} AS b FROM t) SELECT chapter_idx, seg_idx, window_size, array_to_string(list_transform(range(16), lambda i: CAST(CAST(len(list_filter(b, lambda y: y = i)) AS DOUBLE) AS VARCHAR)), ' ') AS vector FROM b")
 def mdl2(fx: Fixtures) -> DataFrame:
     from pyspark.sql import Window
 
