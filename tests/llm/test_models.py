@@ -66,6 +66,27 @@ def test_seatings_have_the_posterior_number_of_tables(n, d, w):
     assert np.mean(means) == pytest.approx(sum(t * x for t, x in exact.items()), rel=0.02)
 
 
+@pytest.mark.parametrize("n, d, w", [(1000, 0.8, 10.0), (2000, 0.9, 200.0), (100, 0.5, 50.0)])
+def test_a_sweep_moves_all_customers_of_a_large_dish(n, d, w):
+    """A few sweeps lead from one table to the posterior's number of tables: its mean and variance."""
+    exact = np.zeros(n + 2)
+    exact[1], k = 1.0, np.arange(n + 2)
+    for c in range(1, n):
+        exact = np.maximum(c - d * k, 0) * exact + w * np.append(0, exact[:-1])
+        exact /= exact.sum()
+    mean = (k * exact).sum()
+    rng, dishes = np.random.default_rng(11), 2000
+    c, t = np.full(dishes, n), np.ones(dishes, np.int64)
+    size, counts = c.copy(), []
+    for _ in range(24):
+        t, size = seating.swept(c, t, size, np.full(dishes, w), d, rng)
+        assert (np.add.reduceat(size, np.cumsum(t) - t) == n).all() and (size > 0).all()
+        counts.append(t)
+    assert counts[3].mean() == pytest.approx(mean, rel=0.05)
+    assert np.mean(counts[12:]) == pytest.approx(mean, rel=0.02)
+    assert np.mean([x.var() for x in counts[12:]]) == pytest.approx((((k - mean) ** 2) * exact).sum(), rel=0.1)
+
+
 def test_customers_come_and_leave():
     rng = np.random.default_rng(5)
     before, t, size, after = np.array([1, 5, 100, 3, 1]), np.array([1, 2, 3, 1, 1]), np.array([1, 2, 3, 50, 49, 1, 3, 1]), np.array([1, 3, 120, 3, 2])
