@@ -14,6 +14,8 @@ if some stretch of it is within floor(n / 5) word edits (insertions, deletions,
    number of repeats up to MOST_REPEATS gives it, all pairs of the class are candidates.
 3. Of candidate pairs the edit distance (free end) of every stretch that passed the count filter is computed exactly, so
    a found pair's distance and place are exact.
+4. Pairs that no walk met but that passed the count filter are verified in the same way, so none within the distance is
+   lost. Where only the document matters, this is left out for those that hold an item already.
 
 Items go to the workers by broadcast, at most `item_bytes` of text at a time; a larger benchmark takes several
 passes. Documents take one narrow pass, whatever the skew.
@@ -37,7 +39,7 @@ from spanloom.llm.arrays import LOWER, PUNCTUATION, U64, buffers, mix, rows_of,
 from spanloom.llm.runtime import annotated, fresh, small_batches
 
 END = U64(0)  # stands behind a stretch's last word
-#: Expected share of item occurrences, at the largest distance, that the sampled steps find.
+#: Expected share of item occurrences, at the largest distance, that the sampled steps find; the exact check finds the others.
 RECALL = 0.999
 MOST_STEPS, MOST_REPEATS = 256, 512
 
@@ -219,12 +221,26 @@ class Items:
                 met[pair[left[(read == codes[items[left]]) & (read != END)]]] = True
         return met[pair]
 
-    def matches(self, h: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, ...]:
-        """(row, item, distance, start, length) of each item in each row of a slice: its nearest stretch, leftmost of equals. most: words of stretches held at a time."""
+    def matches(self, h: np.ndarray, first: np.ndarray, most: int = 1 << 20, once: bool = False) -> tuple[np.ndarray, ...]:
+        """(row, item, distance, start, length) of each item in each row of a slice: its nearest stretch, leftmost of equals.
+
+        most: words of stretches held at a time. once: rows of which a candidate pair matches may lack their other items.
+        """
         items, begins = self.stretches(h, first)
-        if len(items):
-            met = self.candidates(h, first, items, begins)
-            items, begins = items[met], begins[met]
+        met = self.candidates(h, first, items, begins) if len(items) else np.zeros(0, bool)
+        out = self.verified(h, first, items[met], begins[met], most)
+        if once and out:
+            met |= np.isin(np.searchsorted(first, begins, "right") - 1, np.concatenate(out, axis=1)[0])
+        out += self.verified(h, first, items[~met], begins[~met], most)
+        all_ = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+        order = np.lexsort((all_[3], all_[2], all_[1], all_[0]))
+        all_ = all_[:, order]
+        new = np.ones(all_.shape[1], bool)
+        new[1:] = (all_[0, 1:] != all_[0, :-1]) | (all_[1, 1:] != all_[1, :-1])
+        return tuple(all_[:, new])
+
+    def verified(self, h: np.ndarray, first: np.ndarray, items: np.ndarray, begins: np.ndarray, most: int) -> list[np.ndarray]:
+        """Columns of row, item, distance, start and length of the stretches within the distance."""
         out = []
         for c in np.unique(self.size_class[items]).tolist():
             mine = np.flatnonzero(self.size_class[items] == c)
@@ -239,12 +255,7 @@ class Items:
                 best, length = edit_distances(rectangles(self.h, self.start[item], self.n[item], width), self.n[item], rectangles(h, begin, size, wide), size)
                 good = best <= self.d[item]
                 out.append(np.stack([row, item, best, begin - first[row], length])[:, good])
-        all_ = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
-        order = np.lexsort((all_[3], all_[2], all_[1], all_[0]))
-        all_ = all_[:, order]
-        new = np.ones(all_.shape[1], bool)
-        new[1:] = (all_[0, 1:] != all_[0, :-1]) | (all_[1, 1:] != all_[1, :-1])
-        return tuple(all_[:, new])
+        return out
 
 
 def item_blocks(benchmark: DataFrame, item_bytes: int, item_key: str, item_text: str) -> list[DataFrame]:
@@ -275,7 +286,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL,
                 raw, offsets = buffers(column)
                 found = np.zeros(len(column), np.int64)
                 for i, j, cut, cut_offsets in slices(raw, offsets):
-                    found[i:j] = np.bincount(items.matches(*word_hashes(cut, cut_offsets))[0], minlength=j - i)
+                    found[i:j] = np.bincount(items.matches(*word_hashes(cut, cut_offsets), once=True)[0], minlength=j - i)
                 return [pa.array(found)]
 
             return count

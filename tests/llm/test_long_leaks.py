@@ -62,3 +62,14 @@ def test_sampling_loses_no_rows_of_the_table():
     ids = list(range(len(texts)))
     sampled, all_ = decontamination.Items(ids, texts), decontamination.Items(ids, texts, repeats=dict.fromkeys(range(30), 0))
     assert all((a == b).all() for a, b in zip(sampled.matches(*words), all_.matches(*words), strict=True))
+
+
+def test_pairs_that_no_walk_meets_are_found():
+    """One repeat meets few pairs of 100 words at 20 deletions; the exact check finds the others."""
+    rng = random.Random(21)
+    items, texts = zip(*(planted(100, "delete", rng) for _ in range(40)), strict=True)
+    words = decontamination.word_hashes(*buffers(pa.array(texts)))
+    few, all_ = (decontamination.Items(list(range(40)), list(items), repeats=dict.fromkeys(range(10), r)) for r in (1, 0))
+    assert not few.candidates(*words, *few.stretches(*words)).all()
+    assert [x.tolist() for x in few.matches(*words)] == [x.tolist() for x in all_.matches(*words)]
+    assert set(range(40)) == set(few.matches(*words)[0].tolist()) == set(few.matches(*words, once=True)[0].tolist())
