@@ -110,8 +110,11 @@ def near(a: str, b: str, distance: int) -> Column:
     return (F.bit_count(F.col(f"{a}_place").bitwiseXOR(F.col(f"{b}_place"))) <= distance) & (F.bit_count(F.col(f"{a}_fp").bitwiseXOR(F.col(f"{b}_fp"))) <= distance)
 
 
-def linked(points: DataFrame, distance: int) -> DataFrame:
-    """For distinct fingerprints (column fp, saved): fp and root, the least fingerprint reachable over links."""
+def links(points: DataFrame, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of distinct fingerprints (column fp, saved) links that together connect all within the distance.
+
+    Links to the least of a cell (u, v); their components (u, root); links between these (a_fp, root, b_fp, b_root).
+    """
     masks = cell_masks(blocks_for(points.count(), distance), distance)
     cells = points.select("fp", place(F.col("fp")).alias("place")).select(
         "fp", "place", F.posexplode(F.array(*[F.col("place").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell")
@@ -127,6 +130,12 @@ def linked(points: DataFrame, distance: int) -> DataFrame:
     left = saved(held.join(open_cells.select("choice", "cell", F.col("big.root").alias("big")), ["choice", "cell"]).select("choice", "cell", "a_fp", "a_place", "root", "big"))
     others = left.select("choice", "cell", F.col("a_fp").alias("b_fp"), F.col("a_place").alias("b_place"), F.col("root").alias("b_root"), (F.col("root") == F.col("big")).alias("main"))
     crossing = left.where("root <> big").join(others, ["choice", "cell"]).where((F.col("root") != F.col("b_root")) & (F.col("main") | (F.col("a_fp") < F.col("b_fp"))) & near("a", "b", distance))
+    return stars, roots, crossing
+
+
+def linked(points: DataFrame, distance: int) -> DataFrame:
+    """For distinct fingerprints (column fp, saved): fp and root, the least fingerprint reachable over links."""
+    _, roots, crossing = links(points, distance)
     bridges = components(crossing.select(F.col("root").alias("u"), F.col("b_root").alias("v")))
     first = points.join(roots, points["fp"] == roots["u"], "left").select("fp", F.coalesce("root", "fp").alias("one"))
     return first.join(bridges.select(F.col("u").alias("one"), F.col("root").alias("two")), "one", "left").select("fp", F.coalesce("two", "one").alias("root"))

@@ -71,6 +71,23 @@ def test_a_pair_beyond_four_bits(spark):
     assert {r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
 
 
+def test_candidates_of_fingerprints(spark, monkeypatch):
+    """Fingerprints linked by four bits or fewer are candidates, whether by the grid or as equals; what is no near copy is verified away."""
+    prints = [0, 1, 3, 1 << 63, 0xFF, 0xFF, 0xFF0F << 20, (0xFF0F << 20) ^ 0b11110]
+    sets = spark.createDataFrame([(10 + i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "sid bigint, fp bigint")
+    group = {10 + i: 10 + i for i in range(len(prints))}
+    pairs = [(r.u, r.v) for r in near_copies.close_prints(sets, 4).collect()]
+    for u, v in pairs:
+        assert bin(prints[u - 10] ^ prints[v - 10]).count("1") <= 4
+        a, b = sorted((group[u], group[v]))
+        group = {k: a if g == b else g for k, g in group.items()}
+    assert group == {10: 10, 11: 10, 12: 10, 13: 10, 14: 14, 15: 14, 16: 16, 17: 16}
+    used, real = [], near_copies.close_prints
+    monkeypatch.setattr(near_copies, "close_prints", lambda *a: used.append(a) or real(*a))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i j")], "doc_id bigint, text string")
+    assert {r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3} and used
+
+
 def test_awkward_rows(docs, awkward, nothing):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     one = near_copies.one_of_each(docs)
