@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, hash_forest, pitman_yor, seating, toxicity
 from spanloom.llm.queries import op1_pitman_yor, op3_toxicity, op5_hash_prefix_forest, op8_benchmark_decontamination
+from spanloom.llm.runtime import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,6 +165,27 @@ def test_scores_against_one_customer_at_a_time(spark):
     assert sum(got.values()) == pytest.approx(sum(math.log10(sums[x]) for _, t in rows for x in pairs(t)), rel=0.015)
 
 
+def test_a_very_frequent_word_is_scored_in_parts(spark):
+    """More than 2^20 tokens of one word: several tasks score its bucket, and equal texts get equal scores from each."""
+    n, many = 60, 30_000
+    docs = spark.createDataFrame([(i, "the " * many) for i in range(n)] + [(n + i, "a rare word stands here") for i in range(n)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pitman_yor.scores(docs, F.lit(True)).collect()}
+    total, v = n * (many + 7), 7
+    base = many * math.log10((n * many + 1) / (total + v + 1)) + math.log10((2 * n + 1) / (total + v + 1))
+    for i in range(n):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (many + 1, many + 1, total)
+        assert got[i].base_score == pytest.approx(base, rel=1e-7) and got[i].score == got[0].score > base
+        assert got[n + i].n_known == 6 and got[n + i].score == got[n].score
+
+
+def test_large_rows_are_written_in_small_row_groups(spark):
+    """What the reader holds at once: one group of rows, not the file."""
+    table = written(spark.range(0, 100, 1, 1), large=True)
+    assert sorted(r.id for r in table.collect()) == list(range(100))
+    groups = [m.row_group(i).num_rows for f in table.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) <= 32
+
+
 def test_scores_of_awkward_rows(docs, awkward, nothing):
     assert pitman_yor.scores(docs, F.lit(True)).count() == 13
     rows = pitman_yor.scores(awkward, F.col("doc_id") < 2).collect()
