@@ -2,10 +2,11 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
-from spanloom.llm import near_copies
+from spanloom.llm import line_dedup, near_copies
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -88,6 +89,22 @@ def test_candidates_of_fingerprints(spark, monkeypatch):
     assert {r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3} and used
 
 
+def test_nothing_but_names_is_kept_for_the_last_step(spark, tmp_path):
+    """While whole texts move, sets, prefixes and links are no longer read, so they need not stay on disk."""
+    spark.createDataFrame(planted(), "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    one = near_copies.one_of_each(spark.read.parquet(str(tmp_path / "docs")))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_line_dedup_leaves_one_table(spark, tmp_path):
+    """Of its tables the stage leaves the one that its result reads."""
+    tables = lambda: {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
+    rows, before = [(i, f"one line that many documents share in full\nand line {i} of its own, {i * 31} and {i * 77}") for i in range(30)], tables()
+    kept = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(tables() - before) == 1
+    assert sorted(r.text.count("\n") for r in kept.collect())[-1] == 1
+
+
 def test_awkward_rows(docs, awkward, nothing):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     one = near_copies.one_of_each(docs)
