@@ -4,6 +4,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from spanloom.llm import line_dedup, near_copies
@@ -96,6 +97,56 @@ def test_nothing_but_names_is_kept_for_the_last_step(spark, tmp_path):
     assert one._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_only_sets_that_sketches_allow_travel(spark, monkeypatch):
+    """Texts that share rare shingles but are not alike are told apart by sketches; their whole sets are not read."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    fillers, phrases = ([[word() for _ in range(n)] for _ in range(10)] for n in (60, 20))
+    rows = [(i, " ".join(phrases[i // 2] + fillers[i % 2 * 2 + i // 2 % 2])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left, real = [], near_copies.by_sketch
+
+    def seen(pairs, *rest):
+        left.append((pairs.distinct().count(), (out := real(pairs, *rest)).count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "by_sketch", seen)
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == brute(rows) == set(range(20))
+    assert sum(before for before, _ in left) > 0 and sum(after for _, after in left) == 0
+
+
+def test_sketches_never_overrate_a_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(0, 400), dtype=np.uint64)) for _ in range(2)]
+        common = np.unique(rng.integers(0, 1 << 62, rng.integers(0, 400), dtype=np.uint64))
+        sets = [np.union1d(s, common) for s in sets] + [common]
+        n = np.array([len(s) for s in sets])
+        bits = near_copies.sketches_of(np.repeat(np.arange(3), n), np.concatenate(sets), n)
+        assert all(near_copies.apart(bits[i], bits[j]) <= len(np.setxor1d(sets[i], sets[j])) for i in range(3) for j in range(3))
+
+
+def test_whole_texts_move_once(spark, tmp_path):
+    """The last step deals texts by set and doc_id once, unless a smallest doc_id stands on several sets of a component."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = planted()
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(near_copies.one_of_each(spark.read.parquet(str(tmp_path / "docs")))).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    base = max((t for _, t in rows), key=len)
+    twice = spark.createDataFrame([(1, base), (1, base + " more"), (1, base), (2, base), (None, base)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.text) for r in near_copies.one_of_each(twice).collect()] == [(1, base)]
+
+
+def test_line_dedup_moves_texts_alike_at_every_size(spark):
+    rows = [(i, f"one line that many documents share in full\nand line {i} of its own, {i * 31} and {i * 77}") for i in range(30)]
+    kept = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_leaves_one_table(spark, tmp_path):
     """Of its tables the stage leaves the one that its result reads."""
     tables = lambda: {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
