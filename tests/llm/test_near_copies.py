@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, near_copies
 
@@ -147,6 +148,19 @@ def test_line_dedup_moves_texts_alike_at_every_size(spark):
     assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rarity_is_counted_on_a_share_of_rows(spark):
+    """Some rows suffice to order words, and no order changes what is removed."""
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(12)) for _ in range(6)) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (80, texts[0] + " more")], "doc_id bigint, text string")
+    rows = line_dedup.Rows(docs, "doc_id", "text")
+    named = docs.select(rows.row(docs["doc_id"], docs["text"]).alias("row"), docs["text"].alias("t"))
+    assert 0 < line_dedup.counted(named).count() < 81 // 3
+    every = F.split(F.lit(",".join(str((b * 2654435761 >> 7) % 256 - 128) for b in range(1 << line_dedup.RARITY_BITS))), ",").cast("array<bigint>")
+    found = [{r.rk: r.gone for r in line_dedup.repeated_lines(docs, rows, 4, 5, "doc_id", "text", ranks).collect()} for ranks in (None, every)]
+    assert found[0] == found[1] and found[0][80][:5] == [0, 1, 2, 3, 4]
+
+
 def test_line_dedup_leaves_one_table(spark, tmp_path):
     """Of its tables the stage leaves the one that its result reads."""
     tables = lambda: {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
