@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, near_copies
@@ -161,6 +162,34 @@ def test_rarity_is_counted_on_a_share_of_rows(spark):
     assert found[0] == found[1] and found[0][80][:5] == [0, 1, 2, 3, 4]
 
 
+def test_a_rare_word_is_told_from_a_common_one_beside_it(spark):
+    """Two words that agree in 16 bits of their hashes have ranks of their own: else lines meet by words that many lines hold."""
+    seen, found, i = {}, None, 0
+    while found is None:
+        h = xxhash.xxh64(f"w{i}".encode(), seed=42).intdigest()
+        other = seen.setdefault(h >> 48, i)
+        g = xxhash.xxh64(f"w{other}".encode(), seed=42).intdigest()
+        if g >> 46 != h >> 46 and g >> 56 == h >> 56:
+            found = sorted((f"w{i}", f"w{other}"), key=lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest())
+        i += 1
+    common, rare = found  # hashes alone would put the common one first
+    texts = spark.createDataFrame([(i, " ".join([common] * 50 + [f"filler{j}" for j in range(50)])) for i in range(80)], "row bigint, t string")
+    ranks = line_dedup.rarity(texts)
+    codes = spark.range(1).select(line_dedup.by_rarity(F.lit(f"{common} {rare}"), ranks).alias("c")).first()["c"]
+    low = lambda x: x & (1 << 56) - 1
+    assert [low(c) for c in codes] == [low(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in (rare, common)]
+
+
+@pytest.mark.parametrize("up, down", [(4, 5), (1, 2), (9, 10)])
+def test_reach_is_the_positional_and_the_length_filter(spark, up, down):
+    side = lambda n, i: spark.range(1, 26).select(F.col("id").alias(n)).select(n, F.explode(F.expr(f"sequence(1, {n} - ({n} * {up} + {down - 1}) DIV {down} + 1)")).alias(i))
+    both = side("n", "i").crossJoin(side("o", "j")).select("*", line_dedup.reach("n", "i", up, down).alias("r"), line_dedup.reach("o", "j", up, down).alias("s")).collect()
+    assert min(min(x.r, x.s) for x in both) >= 0
+    for x in both:
+        wanted = min(x.n, x.o) * down >= max(x.n, x.o) * up and (1 + min(x.n - x.i, x.o - x.j)) * (up + down) >= (x.n + x.o) * up
+        assert (x.o <= x.r and x.n <= x.s) == wanted
+
+
 def test_line_dedup_leaves_one_table(spark, tmp_path):
     """Of its tables the stage leaves the one that its result reads."""
     tables = lambda: {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
