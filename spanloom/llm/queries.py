@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_repeats, pitman_yor, toxicity
+from spanloom.llm import byte_repeats, languages, merkle, middles, pitman_yor, toxicity
 from spanloom.llm.decontamination import leaks
 from spanloom.llm.hash_forest import nearest_neighbours
 from spanloom.llm.line_dedup import line_removals
@@ -70,9 +71,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the texts is tampered with; the path shows which ones differ by it."""
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.when(tampers, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    found = merkle.manifest(documents(spark, sf_dir), changed={"text": lowered})
+    proven = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("path"), F.col("changed_leaf")).alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = documents(spark, sf_dir)
+    found = languages.predict(docs, languages.fit(docs, usable=~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middles.fill_in_middle(documents(spark, sf_dir))
+    back = middles.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op5_hash_prefix_forest, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_substring_dedup, op3_toxicity, op4_simhash_near_dedup, op5_hash_prefix_forest, op6_sentence_pieces, op7_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup, op11_merkle_manifest, op12_language_id, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": merkle.manifest_sql(), "op13_fill_in_middle": middles.middles_sql()}
