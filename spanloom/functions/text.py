@@ -123,7 +123,8 @@ def padded_labels(gold: Column, predicted: Column) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(0))), lambda i: F.array_join(F.slice(items, i, n), " "))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), " "))
+    return F.when(F.size(items) >= n, every).otherwise(F.array().cast("array<string>"))
 
 
 def f_score(precision: Column, recall: Column) -> Column:

@@ -4,11 +4,13 @@ Passages are taken in order. Each claims the characters of its overlaps; where c
 stretch that only earlier passages claim decides who keeps what. The claims become spans, the spans are
 stretched to sentence ends so that they cover the short text without gaps.
 
+Claims are kept as disjoint intervals in order, so the work follows the number of claimed stretches, not the characters.
 The state runs through a chapter's passages, so this is a grouped function; a group is one chapter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -19,69 +21,156 @@ from pyspark.sql import functions as F
 Span = tuple[int, int]
 
 
-def set_order(ends: set[int], low: int, high: int) -> int | None:
-    """Of the sentence ends in [low, high] the first in a set's own order (of a set that was filled in ascending order)."""
-    found = list(ends.intersection(range(low, high + 1)))
-    return found[0] if found else None
+def set_order(found: list[int]) -> int | None:
+    """Of some sentence ends, in ascending order, the first in the order of a set that they entered one by one."""
+    return next(iter(set(found)), None)
 
 
-def least(ends: set[int], low: int, high: int) -> int | None:
-    return min(ends.intersection(range(low, high + 1)), default=None)
-
-
-def claim(owner: np.ndarray, number: int, spans: list[Span]) -> None:
-    """Enter one passage's claim in owner (-1: free)."""
-    wanted = np.zeros(len(owner), bool)
-    for a, b in spans:
-        wanted[a:b] = True
-    taken = owner >= 0
-    last = np.flatnonzero(taken)[-1] if taken.any() else -1
-    zone = np.arange(spans[0][0], last + 1)
-    zone = zone[(wanted | taken)[zone]]
-    old = ~wanted[zone]
-    keep_from = None
-    if len(zone):
-        # runs of old-only characters; of equally long ones the later
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], old, [False]]).astype(np.int8)))
-        runs = [(b - a, b) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        size, end = max(runs, default=(0, len(zone)))
-        if size <= end - size:
-            keep_from = zone[0]
-        elif end < len(zone):
-            keep_from = zone[end]
-        inside = zone >= keep_from if keep_from is not None else np.zeros(len(zone), bool)
-        owner[zone[inside & ~old]] = number
-        owner[zone[inside & old]] = -1
-        wanted[zone] = False
-    owner[wanted] = number
-
-
-def claimed_spans(owner: np.ndarray, n: int) -> list[Span]:
-    """Each passage's claim from its first to its last character; without one, an empty span at the previous end."""
-    out: list[Span] = []
-    for i in range(n):
-        mine = np.flatnonzero(owner == i)
-        at = out[-1][1] if out else 0
-        out.append((int(mine[0]), int(mine[-1]) + 1) if len(mine) else (at, at))
-    return out
+def least(found: list[int]) -> int | None:
+    return found[0] if found else None
 
 
-def abridged_spans(claims: Iterable[list[Span] | None], ends: set[int], length: int, pick: Callable = set_order) -> list[Span]:
+def united(spans: Iterable[Span]) -> list[Span]:
+    """The same characters as disjoint spans in order."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        elif a < b:
+            out.append((a, b))
+    return [x for x in out if x[0] < x[1]]
+
+
+class Claims:
+    """Disjoint intervals of a text with the passage that holds each: parallel lists in order of their starts."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.owners: list[int] = []
+
+    def put(self, a: int, b: int, owner: int) -> None:
+        """owner takes [a, b); what others held of it is cut off."""
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        left = [(self.starts[i], a, self.owners[i])] if i < j and self.starts[i] < a else []
+        right = [(b, self.ends[j - 1], self.owners[j - 1])] if i < j and self.ends[j - 1] > b else []
+        self.replace(i, j, [*left, (a, b, owner), *right])
+
+    def replace(self, i: int, j: int, new: list[tuple[int, int, int]]) -> None:
+        """Intervals i to j become the new ones; neighbours of one owner become one."""
+        i, j = max(i - 1, 0), min(j + 1, len(self.starts))
+        before = list(zip(self.starts[i:j], self.ends[i:j], self.owners[i:j], strict=True))
+        whole = sorted([x for x in before if not new or x[1] <= new[0][0] or x[0] >= new[-1][1]] + new)
+        joined: list[list[int]] = []
+        for x in whole:
+            if joined and joined[-1][1] == x[0] and joined[-1][2] == x[2]:
+                joined[-1][1] = x[1]
+            else:
+                joined.append(list(x))
+        for side, k in ((self.starts, 0), (self.ends, 1), (self.owners, 2)):
+            side[i:j] = [x[k] for x in joined]
+
+    def pieces(self, wanted: list[Span], start: int) -> list[tuple[int, int, int, bool]]:
+        """From start to the last character held: (from, to, owner or -1, wanted), without what is neither."""
+        i, stop = bisect_right(self.ends, start), self.ends[-1]
+        held = [(max(a, start), b, o) for a, b, o in zip(self.starts[i:], self.ends[i:], self.owners[i:], strict=True)]
+        asked = [(max(a, start), min(b, stop)) for a, b in wanted if b > start and a < stop]
+        edges = sorted({x for a, b, *_ in [*held, *asked] for x in (a, b)})
+        out, h, w = [], 0, 0
+        for a, b in zip(edges, edges[1:], strict=False):
+            while h < len(held) and held[h][1] <= a:
+                h += 1
+            while w < len(asked) and asked[w][1] <= a:
+                w += 1
+            owner = held[h][2] if h < len(held) and held[h][0] <= a else -1
+            is_asked = w < len(asked) and asked[w][0] <= a
+            if owner >= 0 or is_asked:
+                out.append((a, b, owner, is_asked))
+        return out
+
+    def claim(self, number: int, spans: list[Span]) -> None:
+        """Enter one passage's claim. spans in the order of its list: what comes before the first one's start is taken without contest.
+
+        In the contested zone, up to the last character that is held, the longest stretch that is only held, not asked for (characters
+        in neither state left out, of equally long ones the later), keeps its holder, with what stands before it, if it is longer
+        than all of the zone before it; the claim takes the rest. If nothing is behind such a stretch, the zone stays as it is.
+        """
+        wanted = united(spans)
+        start = spans[0][0]
+        stop = self.ends[-1] if self.ends else 0
+        if start < stop:
+            zone = self.pieces(wanted, start)
+            at, runs, first = 0, [], None  # (size, end, number of the piece behind it)
+            for k, (a, b, _, asked) in enumerate(zone):
+                if not asked and first is None:
+                    first = at
+                at += b - a
+                if first is not None and (k + 1 == len(zone) or zone[k + 1][3]):
+                    runs.append((at - first, at, k + 1))
+                    first = None
+            size, end, behind = max(runs, default=(0, at, len(zone)))
+            keep = 0 if size <= end - size else behind
+            if keep < len(zone):
+                new = [(a, b, number if k >= keep else o) for k, (a, b, o, asked) in enumerate(zone) if (asked if k >= keep else o >= 0)]
+                i = bisect_right(self.ends, start)
+                cut = [(self.starts[i], start, self.owners[i])] if self.starts[i] < start else []
+                for side in (self.starts, self.ends, self.owners):
+                    del side[i:]
+                self.replace(i, i, [*cut, *new])
+        for a, b in wanted:
+            if a < min(start, b):
+                self.put(a, min(start, b), number)
+            if b > max(stop, start, a):
+                self.put(max(stop, start, a), b, number)
+
+    def spans(self, n: int) -> list[Span]:
+        """Each of n passages' claim from its first to its last character; without one, an empty span at the previous end."""
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for a, b, o in zip(self.starts, self.ends, self.owners, strict=True):
+            first.setdefault(o, a)
+            last[o] = b
+        out: list[Span] = []
+        for i in range(n):
+            at = out[-1][1] if out else 0
+            out.append((first[i], last[i]) if i in first else (at, at))
+        return out
+
+    def sizes(self) -> dict[int, int]:
+        """Characters by passage."""
+        out: dict[int, int] = {}
+        for a, b, o in zip(self.starts, self.ends, self.owners, strict=True):
+            out[o] = out.get(o, 0) + b - a
+        return out
+
+
+def abridged_spans(claims: Iterable[list[Span] | None], ends: Iterable[int], length: int, pick: Callable[[list[int]], int | None] = set_order) -> list[Span]:
     """Spans that tile the short text, one for each passage's claims (overlap spans on the short side, or none)."""
-    claims = list(claims)
-    owner = np.full(length, -1)
+    claims, ends, held = list(claims), sorted(set(ends)), Claims()
     for i, spans in enumerate(claims):
         if spans:
-            claim(owner, i, spans)
+            held.claim(i, spans)
     out: list[Span] = []
-    for i, (start, end) in enumerate(claimed_spans(owner, len(claims))):
-        if out:
-            boundary = pick(ends, out[-1][1], start)
-            if boundary is not None and boundary > out[-1][1]:
-                full = next((k for k in range(len(out) - 1, -1, -1) if out[k][0] != out[k][1]), None)
-                if full is not None:
-                    out[full:] = [(out[full][0], boundary)] + [(boundary, boundary)] * (len(out) - full - 1)
+    full = None  # the last span that is not empty
+    for i, (start, end) in enumerate(held.spans(len(claims))):
+        if out and full is not None:
+            before = out[-1][1]
+            boundary = pick(ends[bisect_left(ends, before) : bisect_right(ends, start)])
+            if boundary is not None and boundary > before:
+                out[full:] = [(out[full][0], boundary)] + [(boundary, boundary)] * (len(out) - full - 1)
         out.append((out[-1][1] if out else 0, length if i == len(claims) - 1 else end))
+        full = i if out[-1][0] != out[-1][1] else full
+    return out
+
+
+def within(starts: np.ndarray, ends: np.ndarray, passages: Iterable[Span]) -> list[list[int]]:
+    """For each passage the numbers of the spans that lie in it, in their order: found by binary search among the starts."""
+    order = np.argsort(starts, kind="stable")
+    by_start = starts[order]
+    out = []
+    for a, b in passages:
+        near = order[np.searchsorted(by_start, a) : np.searchsorted(by_start, b, "right")]
+        out.append(np.sort(near[ends[near] <= b]).tolist())
     return out
 
 
@@ -93,8 +182,8 @@ def infer(passages: DataFrame, overlaps: DataFrame, chapters: DataFrame, pick: C
         own = own.sort_values("idx")
         found = found.sort_values("pos")
         o0, o1, spans = found.o_start.to_numpy(), found.o_end.to_numpy(), list(zip(found.a_start, found.a_end, strict=True))
-        claims = [[spans[k] for k in np.flatnonzero((o0 >= a) & (o1 <= b))] for a, b in zip(own.start_char, own.end_char, strict=True)]
-        got = abridged_spans(claims, set(sorted(own.a_ends.iloc[0])) if len(own) else set(), int(own.a_length.iloc[0]) if len(own) else 0, pick)
+        claims = [[spans[k] for k in mine] for mine in within(o0, o1, zip(own.start_char, own.end_char, strict=True))]
+        got = abridged_spans(claims, own.a_ends.iloc[0] if len(own) else (), int(own.a_length.iloc[0]) if len(own) else 0, pick)
         return pd.DataFrame({"chapter_idx": own.chapter_idx, "idx": own.idx, "abridged_start": [a for a, _ in got], "abridged_end": [b for _, b in got]})
 
     left = passages.join(chapters.select("chapter_idx", "a_length", "a_ends"), "chapter_idx")

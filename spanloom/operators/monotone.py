@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def common_marks(target: list[str], source: list[str]) -> list[int]:
@@ -40,11 +42,6 @@ def union_recall(source: list[list[str]], target: list[list[str]]) -> float:
     return hits / total if total else 0.0
 
 
-def unigram_recall(source: list[list[str]], target: list[list[str]]) -> float:
-    a, b = Counter(t for s in source for t in s), Counter(t for s in target for t in s)
-    return sum((a & b).values()) / max(sum(b.values()), 1)
-
-
 def in_band(s: int, t: int, n_source: int, lead: int = 10, trail: float = 0.25) -> bool:
     """Whether a cell is visited: targets run ahead by `lead` at most, and long sources do not leave them behind."""
     return t - s <= lead and not (n_source >= 50 and (t + 1) / (s + 1) < trail)
@@ -90,117 +87,341 @@ def align(source: list, target: list, score: Callable, max_source: int = 4, max_
     return out[::-1]
 
 
-def window_sums(rows: np.ndarray, most: int) -> list[np.ndarray]:
-    """For each window size from 1 the sums of the rows that end in it (shorter at the beginning)."""
-    out = [rows.copy()]
-    for w in range(1, most):
-        longer = out[-1].copy()
-        longer[w:] += rows[:-w]
-        out.append(longer)
-    return out
+def grams(tokens: list[str], n: int) -> list:
+    """Runs of n tokens; single tokens stand for themselves."""
+    return tokens if n == 1 else list(zip(*(tokens[k:] for k in range(n)), strict=False))
+
+
+def gram_recall(n: int) -> Callable:
+    """Share of the target window's n-grams that the source window has (repeats count as often as both have them); n-grams cross segments."""
+
+    def score(source: list[list[str]], target: list[list[str]]) -> float:
+        a, b = (Counter(grams([t for s in side for t in s], n)) for side in (source, target))
+        return sum((a & b).values()) / max(sum(b.values()), 1)
+
+    return score
+
+
+#: Counts that may wait for their n-gram to come again.
+KEPT = 1 << 22
+#: Scores of the windows that end in target t and in the sources from lo to hi: depths x widths x (hi - lo). Windows that reach
+#: before the start may hold anything.
+RowScores = Callable[[int, int, int], np.ndarray]
+
+
+class GramRows:
+    """gram_recall of all windows, target by target.
+
+    An n-gram of the source that spans the segments from `first` to `last` stands in the windows of w segments that end from `last` to
+    first + w - 1. The counts by ending source are made for the n-grams of the last few targets only and
+    dropped after them, so memory grows with the source's length, not with the product of both.
+    """
+
+    def __init__(self, source: list[list[str]], target: list[list[str]], n: int = 1, widths: int = 4, depths: int = 4):
+        self.n, self.widths, self.depths, self.target, self.length = n, widths, depths, target, len(source)
+        wanted = set(grams([t for s in target for t in s], n))
+        tokens, at = [t for s in source for t in s], [k for k, s in enumerate(source) for _ in s]
+        self.kind = np.uint8 if widths * max(map(len, [*source, []])) < 256 else np.int64
+        self.places: dict = {}
+        for i, g in enumerate(grams(tokens, n)):
+            if g in wanted and at[i + n - 1] - at[i] < widths:
+                self.places.setdefault(g, []).append((at[i], at[i + n - 1]))
+        self.rows: dict = {}
+        self.top = np.iinfo(self.kind).max
 
+    def counted(self, g: object) -> np.ndarray | None:
+        """widths x length: how often the n-gram stands in the window that ends there."""
+        if g not in self.rows and g in self.places:
+            row = np.zeros((self.widths, self.length), self.kind)
+            if len(self.places[g]) < 4:
+                for first, last in self.places[g]:
+                    for w in range(last - first + 1, self.widths + 1):
+                        row[w - 1, last : first + w] += 1
+            else:
+                first, last = np.array(self.places[g]).T
+                for over in np.unique(last - first).tolist():  # segments that it spans beyond the first
+                    ends = np.bincount(last[last - first == over], minlength=self.length).astype(self.kind)
+                    sums = ends.copy()
+                    row[over] += sums
+                    for more in range(1, self.widths - over):
+                        sums[more:] += ends[:-more]
+                        row[over + more] += sums
+            self.rows[g] = row
+        return self.rows.get(g)
 
-def unigram_tables(source: list[list[str]], target: list[list[str]], max_source: int = 4, max_target: int = 4, inside: Callable = in_band) -> dict[tuple[int, int], np.ndarray]:
-    """unigram_recall of all windows of tokenised segments by the cell in which they end: tokens are numbered and counted once, windows add up."""
-    names: dict[str, int] = {}
-    for t in target:
-        for w in t:
-            names.setdefault(w, len(names))
-    counts = lambda side: np.array([np.bincount([names[w] for w in s if w in names], minlength=max(len(names), 1)) for s in side], np.int32).reshape(len(side), -1)
-    long, short = window_sums(counts(source), max_source), window_sums(counts(target), max_target)
-    out = {(w, v): np.zeros((len(source), len(target))) for w in range(1, max_source + 1) for v in range(1, max_target + 1)}
-    for t in range(len(target)):
-        cells = [s for s in range(len(source)) if inside(s, t, len(source))]
-        if not cells:
+    def __call__(self, t: int, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((self.depths, self.widths, hi - lo))
+        counts, known = [], {}
+        for v in range(1, min(self.depths, t + 1) + 1):
+            counts.append(Counter(grams([x for s in self.target[t - v + 1 : t + 1] for x in s], self.n)))
+            for g in counts[-1]:
+                if g not in known and (row := self.counted(g)) is not None:
+                    known[g] = row[:, lo:hi]
+        if len(self.rows) * self.widths * self.length > KEPT:
+            self.rows = {g: self.rows[g] for g in known}
+        if known:
+            here = np.stack(list(known.values()))
+            for v, c in enumerate(counts):
+                most = np.array([c.get(g, 0) for g in known]).clip(max=self.top).astype(self.kind)
+                out[v] = np.minimum(here, most[:, None, None]).sum(axis=0, dtype=np.int64) / max(sum(c.values()), 1)
+        return out
+
+
+def mark_bits(target: list[str], source: dict[str, int], size: int) -> int:
+    """common_marks as bits. source: for each token the bits of its places among `size`.
+
+    A row's cleared bits are the places at which the length grows, so lengths are counts of cleared bits.
+    """
+    every = (1 << size) - 1
+    rows, at = [every], []
+    for token in target:
+        here, row = source.get(token, 0), rows[-1]
+        at.append(here)
+        if (both := row & here):
+            row = (row + both | row - both) & every
+        rows.append(row)
+    marks, i, j = 0, len(target), size
+    while i and j:
+        if at[i - 1] >> j - 1 & 1:
+            i, j = i - 1, j - 1
+            marks |= 1 << i
             continue
-        rows = slice(cells[0], cells[-1] + 1)
-        for v in range(1, max_target + 1):
-            mine = short[v - 1][t]
-            used = np.flatnonzero(mine)
-            for w in range(1, max_source + 1):
-                out[w, v][rows, t] = np.minimum(long[w - 1][rows][:, used], mine[used]).sum(axis=1) / max(int(mine.sum()), 1)
-    return out
+        first = (1 << j) - 1
+        # without target's last token the length is that of the row above, without source's that of this row up to the place before
+        if j - (rows[i - 1] & first).bit_count() >= j - 1 - (rows[i] & first >> 1).bit_count():
+            i -= 1
+        else:
+            j -= 1
+    return marks
 
 
-def scored_tables(source: list, target: list, score: Callable, max_source: int = 4, max_target: int = 4, inside: Callable = in_band) -> dict[tuple[int, int], np.ndarray]:
-    """Any score of windows, cell by cell."""
-    out = {(w, v): np.zeros((len(source), len(target))) for w in range(1, max_source + 1) for v in range(1, max_target + 1)}
-    for (w, v), table in out.items():
-        for t in range(v - 1, len(target)):
-            for s in range(w - 1, len(source)):
-                if inside(s, t, len(source)):
-                    table[s, t] = score(source[s - w + 1 : s + 1], target[t - v + 1 : t + 1])
-    return out
+class UnionRows:
+    """union_recall of all windows, target by target.
 
+    For each pair of segments the marked target tokens are bits, made while the target is among the last few; windows of
+    sources unite them. Of one target segment no token has more marks than the sources have copies, so only tokens that stand in several of
+    a window's targets are counted apart.
+    """
 
-def union_tables(source: list[list[str]], target: list[list[str]]) -> dict[tuple[int, int], np.ndarray]:
-    """union_recall of all windows; each pair of segments is compared once."""
-    marks: dict[tuple[int, int], set[int]] = {}
+    def __init__(self, source: list[list[str]], target: list[list[str]], widths: int = 4, depths: int = 4):
+        self.source, self.target, self.widths, self.depths = source, target, widths, depths
+        self.places = []
+        for s in source:
+            bits: dict[str, int] = {}
+            for k, x in enumerate(s):
+                bits[x] = bits.get(x, 0) | 1 << k
+            self.places.append(bits)
+        self.counts = GramRows(source, target, 1, widths, depths)
+        #: Of the last few targets: the first source seen, and for each width and source the united marks as words of 64 bits.
+        self.united: dict[int, tuple[int, np.ndarray]] = {}
 
-    def found(s: int, t: int) -> set[int]:
-        if (s, t) not in marks:
-            marks[s, t] = set(common_marks(target[t], source[s])) if set(target[t]) & set(source[s]) else set()
-        return marks[s, t]
+    def marks(self, t: int, lo: int, hi: int) -> np.ndarray:
+        """widths x (hi - lo) x words: the marks of target t by the windows that end in the sources from lo to hi."""
+        if t not in self.united or self.united[t][0] > lo or self.united[t][0] + self.united[t][1].shape[1] < hi:
+            target, first = self.target[t], max(lo - self.widths + 1, 0)
+            words = max(1, -(-len(target) // 64))
+            wanted = set(target)
+            own = np.zeros((hi - first, words), np.uint64)
+            for s in range(first, hi):
+                if not wanted.isdisjoint(self.places[s]):
+                    own[s - first] = np.frombuffer(mark_bits(target, self.places[s], len(self.source[s])).to_bytes(8 * words, "little"), "<u8")
+            out = [own]
+            for w in range(1, self.widths):
+                longer = out[-1].copy()
+                longer[w:] |= own[:-w]
+                out.append(longer)
+            self.united[t] = (lo, np.stack(out)[:, lo - first :])
+        start, found = self.united[t]
+        return found[:, lo - start : hi - start]
 
-    def score(a: list[int], b: list[int]) -> float:
-        left, hits, total = Counter(x for s in a for x in source[s]), 0, sum(len(target[t]) for t in b)
-        for t in b:
-            for k in sorted(set().union(*(found(s, t) for s in a))):
-                if left[target[t][k]] > 0:
-                    left[target[t][k]] -= 1
-                    hits += 1
-        return hits / total if total else 0.0
+    def __call__(self, t: int, lo: int, hi: int) -> np.ndarray:
+        self.united = {k: x for k, x in self.united.items() if t - self.depths < k <= t}
+        out = np.zeros((self.depths, self.widths, hi - lo))
+        first = max(t - self.depths + 1, 0)
+        # earlier targets may have been seen for fewer sources, so all are asked for those of this one
+        found = {k: self.marks(k, lo, hi) for k in range(t, first - 1, -1)}
+        hits, total, several = np.zeros((self.widths, hi - lo), np.int64), 0, {}
+        for v, k in enumerate(range(t, first - 1, -1)):
+            hits = hits + np.bitwise_count(found[k]).sum(axis=2, dtype=np.int64)
+            total += len(self.target[k])
+            for x in set(self.target[k]):
+                several.setdefault(x, []).append(k)
+            over = np.zeros_like(hits)
+            for x, where in several.items():
+                if len(where) > 1 and (have := self.counts.counted(x)) is not None:
+                    asked = sum(np.bitwise_count(found[y] & self.bits(x, y)).sum(axis=2, dtype=np.int64) for y in where)
+                    over += np.maximum(asked - have[:, lo:hi].astype(np.int64), 0)
+            out[v] = (hits - over) / total if total else 0.0
+        if len(self.counts.rows) * self.widths * len(self.source) > KEPT:
+            self.counts.rows = {x: r for x, r in self.counts.rows.items() if x in several}
+        return out
 
-    return scored_tables(list(range(len(source))), list(range(len(target))), score)
+    def bits(self, token: str, t: int) -> np.ndarray:
+        """The places of a token in a target segment, as words."""
+        target = self.target[t]
+        bits = sum(1 << k for k, x in enumerate(target) if x == token)
+        return np.frombuffer(bits.to_bytes(8 * max(1, -(-len(target) // 64)), "little"), "<u8")
 
 
-def cosine_tables(source: list[np.ndarray], target: list[np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+class CosineRows:
     """Cosines of window vectors; source and target hold one matrix for each window size from 1."""
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    return {(w + 1, v + 1): unit(a) @ unit(b).T for w, a in enumerate(source) for v, b in enumerate(target)}
 
+    def __init__(self, source: list[np.ndarray], target: list[np.ndarray]):
+        self.source, self.target = ([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in side] for side in (source, target))
 
-def align_tables(n: int, m: int, tables: dict[tuple[int, int], np.ndarray], size_penalty: float = 0.03, skip_penalty: float = 0.0, least: float = 0.0, lead: int = 10, trail: float = 0.25) -> list[tuple[list[int], list[int], float, float]]:
-    """The rows of `align`, from the scores of all windows (w, v) by the cell where they end.
+    def __call__(self, t: int, lo: int, hi: int) -> np.ndarray:
+        return np.array([[a[lo:hi] @ b[t] for a in self.source] for b in self.target])
 
-    A target's windows all come from targets before it, so they are scored for all sources at once; only
-    sources left out run one after the other.
-    """
-    widths, depths = max((w for w, _ in tables), default=0), max((v for _, v in tables), default=0)
-    order = {x: k for k, x in enumerate(sorted(((w, v) for w in range(1, widths + 1) for v in range(depths + 1)), key=sum))}
-    sums = np.zeros((n + 1, m + 1))  # one row and column for what lies before the start
-    own_of, chosen = np.zeros((n, m)), np.full((n, m), -1)
-    skips = [(order[w, 0], w) for w in range(1, widths + 1)]
-    for t in range(m):
-        cells = np.array([in_band(s, t, n, lead, trail) for s in range(n)], bool)
-        best, which, own_best = np.full(n, -np.inf), np.full(n, len(order)), np.zeros(n)
-        for (w, v), table in sorted(tables.items(), key=lambda x: order[x[0]]):
-            if t - v + 1 < 0 or n < w:
+
+def band(t: int, n: int, lead: int, trail: float) -> tuple[int, int]:
+    """The sources, from and up to, whose cells of target t are visited."""
+    hi = n
+    if n >= 50 and trail > 0:
+        hi = min(n, int((t + 1) / trail) + 2)
+        while hi and (t + 1) / hi < trail:
+            hi -= 1
+    return min(max(t - lead, 0), hi), hi
+
+
+def same_paragraph(paragraphs: list[int] | None, n: int, most: int) -> np.ndarray:
+    """most x n: whether the window of k + 1 segments that ends there is within one paragraph."""
+    out = np.ones((most, n), bool)
+    if paragraphs is not None:
+        p = np.array(paragraphs)
+        for k in range(1, most):
+            out[k, k:] = out[k - 1, k:] & (p[k:] == p[:-k]) & out[k - 1, k - 1 : -1]
+    return out
+
+
+class Recurrence:
+    """The best sums of one target from those of the `depths` targets before it: arrays of n + 1, the first for what lies before the start."""
+
+    def __init__(self, n: int, scores: RowScores, widths: int, depths: int, size_penalty: float, skip_penalty: float, least: float, lead: int, trail: float, source_paragraphs: list[int] | None, target_paragraphs: list[int] | None, m: int):
+        self.n, self.scores, self.depths, self.least, self.skip = n, scores, depths, least, skip_penalty
+        self.band = lambda t: band(t, n, lead, trail)
+        order = sorted(((w, v) for w in range(1, widths + 1) for v in range(depths + 1)), key=sum)
+        #: Windows by rank: the first of equally good ones is taken. Rank 0 leaves one source out.
+        self.windows = order
+        self.alone = [(k, w) for k, (w, v) in enumerate(order) if not v]
+        self.fee = np.array([[[(max(w, v) - 1) * size_penalty] for w in range(1, widths + 1)] for v in range(1, depths + 1)])
+        self.in_paragraphs = source_paragraphs is not None
+        self.source_ok, self.target_ok = same_paragraph(source_paragraphs, n, widths), same_paragraph(target_paragraphs, m, depths)
+
+    def __call__(self, t: int, above: list[np.ndarray], end: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """For the first `end` sources: sums, the first cell of the band, and from it on each cell's rank and own score."""
+        lo, hi = self.band(t)
+        hi = min(hi, end)
+        here = np.zeros(end + 1)
+        if hi <= lo:
+            return here, lo, np.zeros(0, np.int8), np.zeros(0)
+        size = hi - lo
+        scores = np.maximum(self.scores(t, lo, hi) - self.fee, 0.0)
+        if self.least > 0:
+            scores[scores < self.least] = 0.0
+        sums, rank, own = np.full(size, -np.inf), np.full(size, -1, np.int8), np.zeros(size)
+        for k, (w, v) in enumerate(self.windows):
+            first = max(lo, w - 1)
+            if not v or v > t + 1 or first >= hi or not self.target_ok[v - 1, t]:
                 continue
-            own = np.maximum(table[w - 1 :, t] - (max(w, v) - 1) * size_penalty, 0.0)
-            own[own < least] = 0.0
-            total = sums[: n - w + 1, t - v + 1] + own * v
-            better = total > best[w - 1 :]
-            best[w - 1 :][better], which[w - 1 :][better], own_best[w - 1 :][better] = total[better], order[w, v], own[better]
-        here = sums[:, t + 1]
-        for s in np.flatnonzero(cells).tolist():
-            x, k, own = best[s], int(which[s]), own_best[s]
-            for place, w in skips:
+            mine = scores[v - 1, w - 1, first - lo :]
+            total = above[v - 1][first - w + 1 : hi - w + 1] + mine * v
+            if self.in_paragraphs:
+                total[~self.source_ok[w - 1, first:hi]] = -np.inf
+            better = total > sums[first - lo :]
+            np.copyto(sums[first - lo :], total, where=better)
+            np.copyto(own[first - lo :], mine, where=better)
+            rank[first - lo :][better] = k
+        if self.skip == 0:
+            # leaving one source out costs nothing, so it carries the best sum on; it goes before equally good windows
+            run = np.maximum.accumulate(np.concatenate([[0.0], sums]))
+            here[lo + 1 : hi + 1] = run[1:]
+            out = run[:-1] >= sums
+            rank[out], own[out] = 0, 0.0
+            return here, lo, rank, own
+        for i in range(size):
+            s, x, k, y = lo + i, sums[i], rank[i], own[i]
+            for r, w in self.alone:
                 a = s - w + 1
-                if a < 0:
-                    break
-                y = here[a] - skip_penalty if a else 0.0
-                if y > x or (y == x and place < k):
-                    x, k, own = y, place, 0.0
-            here[s + 1], chosen[s, t], own_of[s, t] = x, k, own
-    windows = {k: x for x, k in order.items()}
-    out, s, t = [], n - 1, m - 1
-    while s >= 0 or t >= 0:
-        if s < 0 or t < 0 or chosen[s, t] < 0:
-            out += [([], [k], 0.0, 0.0) for k in range(t, -1, -1)] + [([k], [], 0.0, 0.0) for k in range(s, -1, -1)]
-            break
-        w, v = windows[int(chosen[s, t])]
-        a, b = s - w + 1, t - v + 1
-        out.append((list(range(a, s + 1)), list(range(b, t + 1)), float(sums[s + 1, t + 1]), float(own_of[s, t])))
-        s, t = a - 1, b - 1
+                if a < 0 or not self.source_ok[w - 1, s]:
+                    continue
+                z = here[a] - self.skip if a else 0.0
+                if z > x or (z == x and r < k):
+                    x, k, y = z, r, 0.0
+            here[s + 1], rank[i], own[i] = x, k, y
+        return here, lo, rank, own
+
+
+def align_rows(n: int, m: int, scores: RowScores, widths: int = 4, depths: int = 4, size_penalty: float = 0.03, skip_penalty: float = 0.0, least: float = 0.0,
+               lead: int = 10, trail: float = 0.25, source_paragraphs: list[int] | None = None, target_paragraphs: list[int] | None = None, block: int = 64) -> list[tuple[list[int], list[int], float, float]]:
+    """The rows of `align`, target by target in memory that grows with n (times the logarithm of m).
+
+    Only the sums of the last `depths` targets are kept on the way down. The way back needs each cell's choice: targets
+    are cut in `block` parts, the sums before each part are kept, and the parts are gone through again from the last to the first,
+    themselves cut in parts until they have at most `block` targets, whose choices are held. Sources behind the
+    way back are not visited again.
+    """
+    step = Recurrence(n, scores, widths, depths, size_penalty, skip_penalty, least, lead, trail, source_paragraphs, target_paragraphs, m)
+    out: list[tuple[list[int], list[int], float, float]] = []
+    s, t, over = n - 1, m - 1, False
+
+    def alone() -> None:
+        nonlocal over
+        out.extend([([], [k], 0.0, 0.0) for k in range(t, -1, -1)] + [([k], [], 0.0, 0.0) for k in range(s, -1, -1)])
+        over = True
+
+    def back(first: int, last: int, above: list[np.ndarray]) -> None:
+        """Continues the way back through the targets from first up to last. above: the sums of the targets before first, nearest first."""
+        nonlocal s, t
+        if over or t < first or s < 0:
+            return
+        end = s + 1
+        if last - first > block:
+            edges = [first + (last - first) * k // block for k in range(block + 1)]
+            kept = {first: above}
+            for u in range(first, edges[-2]):
+                above = [step(u, above, end)[0], *above[: depths - 1]]
+                if u + 1 in edges:
+                    kept[u + 1] = above
+            for a, b in zip(edges[-2::-1], edges[:0:-1], strict=True):
+                back(a, b, kept.pop(a))
+            return
+        held = []
+        for u in range(first, min(last, t + 1)):
+            held.append(step(u, above, end))
+            above = [held[-1][0], *above[: depths - 1]]
+        while not over and t >= first and s >= 0:
+            sums, lo, rank, own = held[t - first]
+            if not 0 <= s - lo < len(rank):
+                alone()
+                return
+            w, v = step.windows[int(rank[s - lo])]
+            out.append((list(range(s - w + 1, s + 1)), list(range(t - v + 1, t + 1)), float(sums[s + 1]), float(own[s - lo])))
+            s, t = s - w, t - v
+
+    back(0, m, [np.zeros(n + 1)] * depths)
+    if not over:
+        alone()
     return out[::-1]
+
+
+def alignments(chapters: DataFrame, scores: Callable[[list[list[str]], list[list[str]]], RowScores], paragraphs: bool = False, **how: float) -> DataFrame:
+    """chapters(chapter_idx, source, target: array<string>; with paragraphs also source_par, target_par: array<bigint>): chapter_idx,
+    row, source, target (segment indices from 0), score (accumulated), own.
+
+    A chapter is a row, so this is one narrow pass. scores gets both sides' lower-cased words.
+    """
+    columns = ["chapter_idx", "source", "target", *(["source_par", "target_par"] if paragraphs else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                key, source, target, *pars = (c[k].as_py() for c in b.columns)
+                words = [[t.lower().split() for t in side or []] for side in (source, target)]
+                more = dict(zip(("source_paragraphs", "target_paragraphs"), pars, strict=False))
+                rows = align_rows(len(words[0]), len(words[1]), scores(*words), **how, **more) if all(words) else [([i], [], 0.0, 0.0) for i in range(len(words[0]))] + [([], [j], 0.0, 0.0) for j in range(len(words[1]))]
+                if rows:
+                    sides = [pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1)]
+                    sums = [pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), *sides, *sums], ["chapter_idx", "row", "source", "target", "score", "own"])
+
+    return chapters.select(*columns).mapInArrow(run, "chapter_idx bigint, row bigint, source array<bigint>, target array<bigint>, score double, own double")

@@ -63,6 +63,29 @@ class Fixtures:
     def rows(self) -> DataFrame:
         return self.rated(RATERS[0])
 
+    @cached_property
+    def all_alignments(self) -> DataFrame:
+        """rater, book_id, chapter_idx, row, original_nums, abridged_nums: rows of two segments for all raters, from one segmentation"""
+        num = lambda m: F.when(keeps(m), running(keeps(m).cast("int"), "seg_idx")).otherwise(0).alias(f"a{m}")
+        each = self.segments.select(*CHAPTER, "seg_idx", F.floor(F.col("seg_idx") / 2).cast("bigint").alias("row"), *map(num, RATERS))
+        listed = each.groupBy(*CHAPTER, "row").agg(F.array_sort(F.collect_list(F.struct("seg_idx", *[f"a{m}" for m in RATERS]))).alias("s"))
+        by_rater = lambda m: F.struct(F.lit(m).alias("rater"), F.filter(F.transform("s", lambda x: x[f"a{m}"]), lambda a: a > 0).alias("nums"))
+        nums = F.explode(F.array(*map(by_rater, RATERS))).alias("r")
+        return listed.select(*CHAPTER, "row", F.transform("s", lambda x: x["seg_idx"] + 1).alias("original_nums"), nums).select("r.rater", *CHAPTER, "row", "original_nums", F.col("r.nums").alias("abridged_nums"))
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        """book_id, chapter_idx and the segments' texts and paragraphs as arrays, a chapter to a row. Whole chapters are dealt out once, before they are cut: what is done with them costs more than moving them. Chapters without segments are left out."""
+        pars = tx.paragraph_texts(F.col("original"))
+        texts = F.transform(pars, lambda p, i: F.transform(tx.sentence_texts(p), lambda s: F.struct(i.cast("bigint").alias("par"), s.alias("text"))))
+        listed = self.chapters.repartition("chapter_idx").select(*CHAPTER, F.flatten(texts).alias("s")).where(F.size("s") > 0)
+        return listed.select(*CHAPTER, F.transform("s", lambda x: x["text"]).alias("segments"), F.transform("s", lambda x: x["par"]).alias("pars"))
+
+    def pairs(self, multiplier: int) -> DataFrame:
+        """book_id, chapter_idx, source, source_par, target, target_par: both versions' segments and their paragraphs as arrays"""
+        kept = lambda c: F.filter(c, lambda x, i: (F.col("chapter_idx") * 31 + i * multiplier) % 10 < 6)
+        return self.nested.select(*CHAPTER, F.col("segments").alias("source"), F.col("pars").alias("source_par"), kept("segments").alias("target"), kept("pars").alias("target_par"))
+
     @cached_property
     def overlaps(self) -> DataFrame:
         """chapter_idx, pos, o_start, o_end, a_start, a_end: pairs of equal spans, by abridged place"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import common_spans, metrics, monotone
-from spanloom.plans.fixtures import CHAPTER, RATERS, Fixtures, keeps
+from spanloom.operators import common_spans, metrics, monotone, rouge
+from spanloom.plans.fixtures import CHAPTER, RATERS, Fixtures
 from spanloom.plans.registry import query
 from spanloom.plans.texts import LABELS, labelled
 
@@ -170,6 +172,35 @@ def sim4(fx: Fixtures) -> DataFrame:
     return both.groupBy("chapter_idx").agg(F.sum("p").alias("n_p"), F.sum("r").alias("n_r"), F.sum(F.least("p", "r")).alias("n_both"))
 
 
+def versions(fx: Fixtures) -> DataFrame:
+    """chapter_idx, predicted, reference"""
+    short = lambda m: F.array_join(F.filter("segments", lambda x, i: (F.col("chapter_idx") * 31 + i * m) % 10 < 6), "")
+    return fx.nested.select("chapter_idx", short(19).alias("predicted"), short(17).alias("reference"))
+
+
+ROUGE_SQL = r"""WITH v2 AS (SELECT chapter_idx, regexp_replace(max(abridged) FILTER (rater = 19), '^\s+|\s+$', '', 'g') = regexp_replace(max(abridged) FILTER (rater = 17), '^\s+|\s+$', '', 'g') AS same FROM versions WHERE rater <> 23 GROUP BY ALL),
+w AS (SELECT chapter_idx, rater, regexp_extract_all(lower(abridged), '[a-z0-9]+') AS w FROM versions WHERE rater <> 23),
+b AS (SELECT chapter_idx, rater, 1 AS n, unnest(w) AS g FROM w UNION ALL SELECT chapter_idx, rater, 2 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+c AS (SELECT chapter_idx, n, g, count(*) FILTER (rater = 19) AS p, count(*) FILTER (rater = 17) AS r FROM b GROUP BY ALL),
+t AS (SELECT chapter_idx, n, sum(p) AS p, sum(r) AS r, sum(least(p, r)) AS shared FROM c GROUP BY ALL),
+s AS (SELECT v2.chapter_idx, k.n, CASE WHEN same THEN 1.0 WHEN coalesce(p, 0) > 0 THEN shared / p ELSE 0.0 END AS precision, CASE WHEN same THEN 1.0 WHEN coalesce(r, 0) > 0 THEN shared / r ELSE 0.0 END AS recall FROM v2 CROSS JOIN (SELECT unnest([1, 2]) AS n) k LEFT JOIN t ON t.chapter_idx = v2.chapter_idx AND t.n = k.n)
+SELECT chapter_idx, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM s"""
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("sim4_rouge_n", ROUGE_SQL)
+def sim4_n(fx: Fixtures) -> DataFrame:
+    return rounded(rouge.rouge_n(versions(fx), "chapter_idx"), "chapter_idx", "n")
+
+
+@query("sim4_rouge_l")
+def sim4_l(fx: Fixtures) -> DataFrame:
+    return rounded(rouge.rouge_l(versions(fx), "chapter_idx"), "chapter_idx", "lcs")
+
+
 @query("sim5_cosine", "SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def sim5(fx: Fixtures) -> DataFrame:
     e = fx.table("embeddings")
@@ -204,8 +235,7 @@ def agg11(fx: Fixtures) -> DataFrame:
 
 
 def rater_pairs(fx: Fixtures) -> DataFrame:
-    parts = [metrics.label_pairs(fx.alignment(m), ["chapter_idx"]).withColumn("rater", F.lit(m)) for m in RATERS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return metrics.label_pairs(fx.all_alignments, ["chapter_idx", "rater"])
 
 
 GRID = f"{PAIRS}, gs AS (SELECT chapter_idx, (max(o) + 1) * (coalesce(max(a), 0) + 1) AS cells FROM lp GROUP BY ALL), cv AS (SELECT chapter_idx, o, a, count(DISTINCT rater) AS votes, list(DISTINCT rater) AS raters FROM lp WHERE a IS NOT NULL GROUP BY ALL)"
@@ -363,27 +393,27 @@ def dp3(fx: Fixtures) -> DataFrame:
     return flat.where("x.p = 1 AND x.n = x.w").select("chapter_idx", "i", F.col("x.w").alias("window_size"))
 
 
-def aligned(fx: Fixtures, tables) -> DataFrame:
+def aligned(fx: Fixtures, scores: Callable = monotone.GramRows, paragraphs: bool = False, **how: float) -> DataFrame:
     """Monotone alignment of each chapter with its short version, in windows of up to 4 x 4: the chapter is the parallel unit."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("seg_idx")
-        source, target = ([t.lower().split() for t in texts] for texts in (own.text, own.text[own.kept]))
-        rows = monotone.align_tables(len(source), len(target), tables(source, target)) if target else [([k], [], 0.0, 0.0) for k in range(len(source))]
-        return pd.DataFrame([(own.chapter_idx.iloc[0], k, len(s), len(t), round(x, 6)) for k, (s, t, _, x) in enumerate(rows)], columns=["chapter_idx", "row", "n_source", "n_target", "score"])
-
-    segments = fx.segments.select("chapter_idx", "seg_idx", "text", keeps(RATERS[0]).alias("kept"))
-    return segments.groupBy("chapter_idx").applyInPandas(run, "chapter_idx bigint, row bigint, n_source bigint, n_target bigint, score double")
+    rows = monotone.alignments(fx.pairs(RATERS[0]), scores, paragraphs, **how)
+    n = lambda c: F.size(c).cast("bigint")
+    return rows.select("chapter_idx", "row", n("source").alias("n_source"), n("target").alias("n_target"), F.round("score", 6).alias("score"))
 
 
 @query("dp1_monotone_alignment")
 def dp1(fx: Fixtures) -> DataFrame:
-    return aligned(fx, monotone.unigram_tables)
+    return aligned(fx)
+
+
+@query("dp3_alignment_in_paragraphs")
+def dp3_aligned(fx: Fixtures) -> DataFrame:
+    """Windows of more than one paragraph, on either side, are not taken."""
+    return aligned(fx, paragraphs=True)
 
 
 @query("sim2_union_recall_alignment")
 def sim2(fx: Fixtures) -> DataFrame:
-    return aligned(fx, monotone.union_tables)
+    return aligned(fx, monotone.UnionRows)
 
 
 @query("ovl1_common_spans")

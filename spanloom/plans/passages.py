@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import abridgements, chunks
+from spanloom.operators.containment import contained, least_behind
 from spanloom.plans.fixtures import CHAPTER, Fixtures, keeps
 from spanloom.plans.registry import query
 
 KEY = "book_id, chapter_idx"
 
 
-def contained(inner: DataFrame, outer: DataFrame, *keep: str) -> DataFrame:
-    """Inner spans within outer spans of the same chapter: an equi-join on the chapter with a range condition."""
-    a = inner.select(F.col("chapter_idx").alias("ch"), F.col("start_char").alias("s0"), F.col("end_char").alias("s1"), *[F.col(c) for c in keep])
-    return outer.join(a, (F.col("chapter_idx") == F.col("ch")) & (F.col("s0") >= F.col("start_char")) & (F.col("s1") <= F.col("end_char")))
-
-
 def paragraphs_with_counts(fx: Fixtures) -> DataFrame:
     """A paragraph's segments tile it, so containment is equality of the paragraph: counted with the segments, one shuffle."""
     n = fx.segments.groupBy("chapter_idx", "par_idx").agg(F.count("*").alias("n_sentences"))
@@ -134,35 +129,41 @@ def flt3(fx: Fixtures) -> DataFrame:
 @query("flt4_sentences_per_row", "SELECT chapter_idx, row, CAST(len(original_segments) AS BIGINT) AS n_sentences FROM grouped")
 def flt4(fx: Fixtures) -> DataFrame:
     pairs = fx.segments.groupBy("chapter_idx", F.floor(F.col("seg_idx") / 2).cast("bigint").alias("row")).agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
-    return contained(fx.segments, pairs).groupBy("chapter_idx", "row").agg(F.count("*").alias("n_sentences"))
+    spans = fx.segments.select("chapter_idx", "start_char", "end_char")
+    return contained(spans, pairs).groupBy("chapter_idx", F.col("outer.row").alias("row")).agg(F.count("*").alias("n_sentences"))
 
 
 OV_PAR = "SELECT p.chapter_idx, p.par_idx AS idx, o.pos, o.o_start, o.o_end, o.a_start, o.a_end, o.o_start >= p.start_char AND o.o_end <= p.end_char AS inside, o.o_start >= p.end_char AS beyond FROM paragraphs p JOIN reordered o USING (chapter_idx)"
 
 
+def numbered_paragraphs(fx: Fixtures) -> DataFrame:
+    return fx.paragraphs.select("chapter_idx", F.col("par_idx").alias("idx"), "start_char", "end_char")
+
+
 def overlaps_by_paragraph(fx: Fixtures) -> DataFrame:
-    a, p = fx.reordered.drop("book_id"), fx.paragraphs.select("chapter_idx", F.col("par_idx").alias("idx"), "start_char", "end_char")
-    inside = (F.col("o_start") >= F.col("start_char")) & (F.col("o_end") <= F.col("end_char"))
-    return p.join(a, "chapter_idx").select("chapter_idx", "idx", "pos", "o_start", "o_end", "a_start", "a_end", inside.alias("inside"), (F.col("o_start") >= F.col("end_char")).alias("beyond"))
+    """chapter_idx, idx, pos, o_start, o_end, a_start, a_end of the overlaps in each paragraph, with the paragraph's end_char"""
+    found = contained(fx.reordered.drop("book_id"), numbered_paragraphs(fx), inner_span=("o_start", "o_end"))
+    return found.select("chapter_idx", "outer.idx", "outer.end_char", *[f"inner.{c}" for c in ("pos", "o_start", "o_end", "a_start", "a_end")])
 
 
 @query("flt5_overlaps_until_first_beyond", f"""WITH op AS ({OV_PAR}), stop AS (SELECT chapter_idx, idx, min(pos) AS stop FROM op WHERE beyond GROUP BY ALL)
   SELECT chapter_idx, idx, count(*) AS n_overlaps, min(o_start) AS first_start, max(o_end) AS last_end FROM op LEFT JOIN stop USING (chapter_idx, idx) WHERE inside AND (stop IS NULL OR pos < stop) GROUP BY ALL""")
 def flt5(fx: Fixtures) -> DataFrame:
     """The scan of a passage stops at the first overlap in list order that starts behind it, so reordered later ones are lost."""
-    stop = F.min(F.when(F.col("beyond"), F.col("pos"))).over(Window.partitionBy("chapter_idx", "idx"))
-    kept = overlaps_by_paragraph(fx).withColumn("stop", stop).where("inside AND (stop IS NULL OR pos < stop)")
+    starts = fx.reordered.select("chapter_idx", F.col("o_start").alias("at"), "pos")
+    stops = least_behind(starts, numbered_paragraphs(fx).select("chapter_idx", "idx", F.col("end_char").alias("at")), "pos")
+    kept = overlaps_by_paragraph(fx).join(stops.select("chapter_idx", "idx", "least"), ["chapter_idx", "idx"]).where("least IS NULL OR pos < least")
     return kept.groupBy("chapter_idx", "idx").agg(F.count("*").alias("n_overlaps"), F.min("o_start").alias("first_start"), F.max("o_end").alias("last_end"))
 
 
 @query("flt6_overlaps_of_all_passages", f"WITH op AS ({OV_PAR}) SELECT chapter_idx, idx, count(*) AS n_overlaps FROM op WHERE inside GROUP BY ALL")
 def flt6(fx: Fixtures) -> DataFrame:
-    return overlaps_by_paragraph(fx).where("inside").groupBy("chapter_idx", "idx").agg(F.count("*").alias("n_overlaps"))
+    return overlaps_by_paragraph(fx).groupBy("chapter_idx", "idx").agg(F.count("*").alias("n_overlaps"))
 
 
 @query("flt7_abridged_spans_of_passages", f"WITH op AS ({OV_PAR}) SELECT p.chapter_idx, p.par_idx AS idx, min(a_start) AS first_start, max(a_end) AS last_end FROM paragraphs p LEFT JOIN op ON op.chapter_idx = p.chapter_idx AND op.idx = p.par_idx AND inside GROUP BY ALL")
 def flt7(fx: Fixtures) -> DataFrame:
-    found = overlaps_by_paragraph(fx).where("inside").groupBy("chapter_idx", "idx").agg(F.min("a_start").alias("first_start"), F.max("a_end").alias("last_end"))
+    found = overlaps_by_paragraph(fx).groupBy("chapter_idx", "idx").agg(F.min("a_start").alias("first_start"), F.max("a_end").alias("last_end"))
     return fx.paragraphs.select("chapter_idx", F.col("par_idx").alias("idx")).join(found, ["chapter_idx", "idx"], "left")
 
 
@@ -293,17 +294,24 @@ def inferred(fx: Fixtures, passages: DataFrame) -> DataFrame:
     return abridgements.infer(passages.select("chapter_idx", "idx", "start_char", "end_char"), fx.overlaps, short_chapters(fx))
 
 
-@query("gen5_paired_sentences")
+def inferred_sql(passages: str) -> str:
+    """Spans of the short text for (chapter_idx, idx, start_char, end_char). Its claims come in order and end with sentences, so each one ends where its last overlap does and the last one takes the rest."""
+    return f"""WITH ps AS ({passages}), own AS (SELECT p.chapter_idx, p.idx, max(o.a_end) AS e FROM ps p LEFT JOIN ovl o ON o.chapter_idx = p.chapter_idx AND o.o_start >= p.start_char AND o.o_end <= p.end_char GROUP BY ALL),
+upto AS (SELECT chapter_idx, idx, coalesce(max(e) OVER (PARTITION BY chapter_idx ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, coalesce(max(e) OVER (PARTITION BY chapter_idx ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) AS e, row_number() OVER (PARTITION BY chapter_idx ORDER BY idx DESC) AS r FROM own)
+SELECT chapter_idx, idx, s AS abridged_start, CASE WHEN r = 1 THEN a_length ELSE e END AS abridged_end FROM upto JOIN (SELECT chapter_idx, max(a_end) AS a_length FROM rws GROUP BY ALL) USING (chapter_idx)"""
+
+
+@query("gen5_paired_sentences", inferred_sql("SELECT chapter_idx, seg_idx AS idx, start_char, end_char FROM segments"))
 def gen5(fx: Fixtures) -> DataFrame:
     return inferred(fx, fx.segments.withColumnRenamed("seg_idx", "idx"))
 
 
-@query("gen6_paired_paragraphs")
+@query("gen6_paired_paragraphs", inferred_sql("SELECT chapter_idx, par_idx AS idx, start_char, end_char FROM paragraphs"))
 def gen6(fx: Fixtures) -> DataFrame:
     return inferred(fx, fx.paragraphs.withColumnRenamed("par_idx", "idx"))
 
 
-@query("gen7_paired_chunks")
+@query("gen7_paired_chunks", max_chunks_sql(10) + ", " + inferred_sql("SELECT chapter_idx, idx, start_char, end_char FROM made")[5:])
 def gen7(fx: Fixtures) -> DataFrame:
     return inferred(fx, chunks.chunks(fx.paragraphs, fx.segments, max_sentences=10))
 
@@ -326,13 +334,14 @@ def aln5(fx: Fixtures) -> DataFrame:
 
 @query("jn1_sentences_in_paragraphs", f"SELECT p.chapter_idx, p.par_idx AS idx, count(*) AS n_sentences, min(s.seg_idx) AS first_seg FROM paragraphs p {IN_PAR} GROUP BY ALL")
 def jn1(fx: Fixtures) -> DataFrame:
-    return contained(fx.segments, fx.paragraphs, "seg_idx").groupBy("chapter_idx", F.col("par_idx").alias("idx")).agg(F.count("*").alias("n_sentences"), F.min("seg_idx").alias("first_seg"))
+    spans = fx.segments.select("chapter_idx", "seg_idx", "start_char", "end_char")
+    return contained(spans, numbered_paragraphs(fx)).groupBy("chapter_idx", F.col("outer.idx").alias("idx")).agg(F.count("*").alias("n_sentences"), F.min("inner.seg_idx").alias("first_seg"))
 
 
 @query("jn2_overlaps_in_paragraphs", "SELECT p.chapter_idx, p.par_idx AS idx, count(*) AS n_overlaps, min(o.o_start) AS first_start, max(o.o_end) AS last_end FROM paragraphs p JOIN ovl o ON o.chapter_idx = p.chapter_idx AND o.o_start >= p.start_char AND o.o_end <= p.end_char GROUP BY ALL")
 def jn2(fx: Fixtures) -> DataFrame:
-    spans = fx.overlaps.select("chapter_idx", F.col("o_start").alias("start_char"), F.col("o_end").alias("end_char"))
-    return contained(spans, fx.paragraphs).groupBy("chapter_idx", F.col("par_idx").alias("idx")).agg(F.count("*").alias("n_overlaps"), F.min("s0").alias("first_start"), F.max("s1").alias("last_end"))
+    found = contained(fx.overlaps.select("chapter_idx", "o_start", "o_end"), numbered_paragraphs(fx), inner_span=("o_start", "o_end"))
+    return found.groupBy("chapter_idx", F.col("outer.idx").alias("idx")).agg(F.count("*").alias("n_overlaps"), F.min("inner.o_start").alias("first_start"), F.max("inner.o_end").alias("last_end"))
 
 
 @query("jn3_positional_pairs", "SELECT o.chapter_idx, o.seg_idx AS idx, o.text AS original, a.text AS abridged FROM segments o JOIN (SELECT chapter_idx, seg_idx, abridged AS text FROM rws) a USING (chapter_idx, seg_idx)")

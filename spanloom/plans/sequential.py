@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,16 +32,16 @@ def shared_place(fx: Fixtures, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4()}"
 
 
-@query("aln2_claimed_characters")
+@query("aln2_claimed_characters", "SELECT chapter_idx, dense_rank() OVER (PARTITION BY chapter_idx ORDER BY par_idx) - 1 AS place, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM rws WHERE kept GROUP BY chapter_idx, par_idx")
 def aln2(fx: Fixtures) -> DataFrame:
-    """Who holds how many characters of the short version after all paragraphs have claimed."""
+    """Who holds how many characters of the short version after all paragraphs have claimed. Claims in order do not compete, so the SQL needs no more than sums."""
 
     def run(found: pd.DataFrame) -> pd.DataFrame:
-        owner = np.full(int(found.a_end.max()), -1)
+        held = abridgements.Claims()
         for k, (_, mine) in enumerate(found.sort_values("pos").groupby("par_idx")):
-            abridgements.claim(owner, k, list(zip(mine.a_start, mine.a_end, strict=True)))
-        who, n = np.unique(owner, return_counts=True)
-        return pd.DataFrame({"chapter_idx": found.chapter_idx.iloc[0], "place": who, "n_chars": n})
+            held.claim(k, list(zip(mine.a_start, mine.a_end, strict=True)))
+        sizes = held.sizes()
+        return pd.DataFrame({"chapter_idx": found.chapter_idx.iloc[0], "place": list(sizes), "n_chars": list(sizes.values())})
 
     spans = fx.rows.where("kept").select("chapter_idx", "par_idx", F.col("a_num").alias("pos"), "a_start", "a_end")
     return spans.groupBy("chapter_idx").applyInPandas(run, "chapter_idx bigint, place bigint, n_chars bigint")
@@ -55,7 +56,7 @@ def aln4(fx: Fixtures) -> DataFrame:
 @query("dp4_unaligned_rows")
 def dp4(fx: Fixtures) -> DataFrame:
     """How many rows of the alignment are one-sided."""
-    rows = aligned(fx, monotone.unigram_tables)
+    rows = aligned(fx)
     return rows.groupBy("chapter_idx").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_target") == 0).alias("source_only"), F.count_if(F.col("n_source") == 0).alias("target_only"))
 
 
@@ -66,7 +67,15 @@ def dp5(fx: Fixtures) -> DataFrame:
     def windows(side: list[list[str]]) -> list[np.ndarray]:
         return [np.array(encode([" ".join(w for s in side[max(0, k - n) : k + 1] for w in s) for k in range(len(side))]), np.float64) for n in range(4)]
 
-    return aligned(fx, lambda source, target: monotone.cosine_tables(windows(source), windows(target)))
+    return aligned(fx, lambda source, target: monotone.CosineRows(windows(source), windows(target)))
+
+
+def by_grams(n: int) -> Callable[[Fixtures], DataFrame]:
+    return lambda fx: aligned(fx, lambda source, target: monotone.GramRows(source, target, n))
+
+
+for size in (2, 3, 4):
+    query(f"dp5_alignment_by_{size}grams")(by_grams(size))
 
 
 @query("dp6_alignment_numbers")
@@ -75,7 +84,7 @@ def dp6(fx: Fixtures) -> DataFrame:
     from pyspark.sql import Window
 
     upto = Window.partitionBy("chapter_idx").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = aligned(fx, monotone.unigram_tables)
+    rows = aligned(fx)
     return rows.select("chapter_idx", "row", F.sum("n_source").over(upto).alias("last_source"), F.sum("n_target").over(upto).alias("last_target"), "score")
 
 
@@ -88,12 +97,13 @@ def ovl2(fx: Fixtures) -> DataFrame:
             out = []
             for c, r, long, short in zip(b.chapter_idx, b.row, b.original_segments, b.abridged_segments, strict=True):
                 text = "".join(long)
-                placed, used = common_spans.placed_tokens(text), np.zeros(len(text), bool)
+                tokens = common_spans.placed_tokens(text)
+                places = common_spans.Places([t[0] for t in tokens]) if len(short) else None
                 for k, segment in enumerate(short):
                     wanted = [t[0] for t in common_spans.placed_tokens(segment)]
-                    if wanted and (found := common_spans.first_free(placed, wanted, used)):
-                        used[slice(*found)] = True
-                        out.append((c, r, k, *found))
+                    if wanted and (place := places.find(wanted)) is not None:
+                        places.use(place, len(wanted))
+                        out.append((c, r, k, tokens[place][1], tokens[place + len(wanted) - 1][2]))
             yield pd.DataFrame(out, columns=["chapter_idx", "row", "segment", "start_char", "end_char"])
 
     return fx.grouped.select("chapter_idx", "row", "original_segments", "abridged_segments").mapInPandas(run, "chapter_idx bigint, row bigint, segment bigint, start_char bigint, end_char bigint")

@@ -96,22 +96,6 @@ def test_chapters():
         split_book(["Chapter I", "text"])
 
 
-@pytest.mark.parametrize("n, m", [(0, 0), (1, 1), (7, 3), (3, 9), (60, 9), (64, 40), (30, 45)])
-def test_tables_align_as_cell_by_cell(n, m):
-    """With the band in action (50 sources or more, targets far ahead), ties and empty segments."""
-    rng = random.Random(f"{n} {m}")
-    text = lambda: [rng.choice("abcde") for _ in range(rng.randrange(0, 6))]
-    source, target = [text() for _ in range(n)], [text() for _ in range(m)]
-    if not target:
-        return
-    joined = lambda f: lambda a, b: f(a, b)
-    for score, tables in ((monotone.unigram_recall, monotone.unigram_tables), (monotone.union_recall, monotone.union_tables)):
-        wanted = monotone.align(source, target, joined(score))
-        got = monotone.align_tables(n, m, tables(source, target))
-        assert [(s, t) for s, t, _, _ in got] == [(s, t) for s, t, _, _ in wanted]
-        assert [x for r in got for x in r[2:]] == pytest.approx([x for r in wanted for x in r[2:]])
-
-
 def test_inferred_spans_do_not_depend_on_the_order_of_ends():
     from spanloom.operators import abridgements
 
