@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import packing
 from spanloom.llm.arrays import U64, buffers, mix, powers, slices, span_hashes, stream
-from spanloom.llm.runtime import buckets_for, saved, text_bytes
-from spanloom.llm.substrings import at_home, keyed_documents
+from spanloom.llm.runtime import buckets_for, saved
+from spanloom.llm.substrings import at_home, keyed_documents, measured
 from spanloom.llm.suffix_groups import suffix_array
 
 SLICE = 1 << 19
@@ -118,10 +118,10 @@ def without_repeats(docs: DataFrame, length: int = 200, block: int = 137) -> Dat
     A byte goes if a string of `length` bytes that covers it also starts anywhere else.
     """
     spark = docs.sparkSession
-    total = text_bytes(docs)
+    total, mixed = measured(docs)
     n_homes, n_buckets = buckets_for(spark, total), buckets_for(spark, total)
     gap = length - block  # bytes of a string outside its block
-    homes = at_home(docs, n_homes)
+    homes = at_home(docs, n_homes, mixed)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def without_repeats(docs: DataFrame, length: int = 200, block: int = 137) -> Dat
             out.append(pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(cut_offsets)), pa.array(np.diff(gone)), pa.array(np.diff(runs)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]))
         return pa.Table.from_batches(out, pa.schema([("doc_id", ids.type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
-    first = keyed_documents(docs).mapInArrow(anchors, packing.SCHEMA + ", around binary")
+    first = keyed_documents(docs, mixed).mapInArrow(anchors, packing.SCHEMA + ", around binary")
     noted = saved(first.groupBy("bucket").applyInArrow(classes, packing.SCHEMA))
     sent = homes.groupBy("bucket").cogroup(noted.groupBy("bucket")).applyInArrow(neighbourhoods, packing.SCHEMA + ", counted binary, lefts binary, rights binary, texts binary")
     ordered = saved(sent.groupBy("bucket").applyInArrow(sort_suffixes, packing.SCHEMA + ", meet boolean"))

@@ -10,7 +10,7 @@ A window's level-2 hash has 64 stored bits beside the bits that choose its bucke
 input size, so the bucket bits grow with the input).
 
 Defined cases: null and empty texts have no words; null keys count as one document after all others; rows
-that share a key never remove each other's words; repeated rows each give a row; other columns are ignored;
+that share a key never remove each other's words and are told apart by 64-bit hashes of their texts; repeated rows each give a row; other columns are ignored;
 empty tables give no rows. Windows never cross documents. A document longer than a slice is taken whole.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import packing
 from spanloom.llm.arrays import U64, buffers, rows_of, run_hashes, slices, span_hashes, whole, words
-from spanloom.llm.runtime import buckets_for, saved, text_bytes
+from spanloom.llm.runtime import buckets_for, saved, small_batches
 
 LAST = (1 << 63) - 1
 
@@ -45,19 +45,28 @@ def sampled(h: np.ndarray, first: np.ndarray, width: int, part: int) -> tuple[np
     return starts, at[starts], small
 
 
-def keyed_documents(docs: DataFrame) -> DataFrame:
-    """k (the key, nulls last), doc_id, text and tag (tells rows of one key apart)."""
-    return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("k"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.hash(docs["text"]).cast("bigint").alias("tag"))
+def keyed_documents(docs: DataFrame, mixed: bool = True) -> DataFrame:
+    """k (the key, nulls last), doc_id, text and tag: a 64-bit hash of the text, which tells rows of one key apart; 0 where no key stands on different texts."""
+    tag = F.xxhash64(docs["text"]) if mixed else F.lit(0).cast("bigint")
+    return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("k"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), tag.alias("tag"))
 
 
-def at_home(docs: DataFrame, n_homes: int) -> DataFrame:
+def measured(docs: DataFrame) -> tuple[int, bool]:
+    """Bytes of all texts, and whether some key stands on different texts: only then notes carry tags."""
+    small_batches(docs.sparkSession)
+    by_key = keyed_documents(docs).groupBy("k").agg(F.sum(F.octet_length("text")).alias("n"), (F.min("tag") != F.max("tag")).alias("mixed"))
+    found = by_key.agg(F.sum("n"), F.max("mixed")).first()
+    return int(found[0] or 0), bool(found[1])
+
+
+def at_home(docs: DataFrame, n_homes: int, mixed: bool) -> DataFrame:
     """The same with the bucket in which each document meets its notes: they go by key, so a hot source is no hot bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(packing.home_of(np.asarray(b.column(0)), n_homes)), *b.columns], ["bucket", "k", "doc_id", "text", "tag"])
 
-    return keyed_documents(docs).mapInArrow(run, f"bucket int, k bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, tag bigint")
+    return keyed_documents(docs, mixed).mapInArrow(run, f"bucket int, k bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, tag bigint")
 
 
 def repeated(table: pa.Table, n_homes: int, first_too: bool) -> pa.Table:
@@ -70,10 +79,10 @@ def repeated(table: pa.Table, n_homes: int, first_too: bool) -> pa.Table:
     return packing.sent_home(n_homes, keys[found], tags[found], spots[found])
 
 
-def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int, first_too: bool = False) -> DataFrame:
+def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, total: int, mixed: bool, width: int, first_too: bool = False) -> DataFrame:
     """Packed notes (key, tag, start in words) of the windows to remove; with first_too of all that repeat."""
     part = (width + 1) // 2
-    n_buckets = buckets_for(docs.sparkSession, 3 * text_bytes(docs))
+    n_buckets = buckets_for(docs.sparkSession, 3 * total)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packing.Packer(5)
@@ -113,7 +122,7 @@ def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, width: int,
             out += packer.add(packing.bucket_of(other, n_buckets), full, keys[i + row], window - first[row], tags[i + row])
         return pa.Table.from_batches([*out, *packer.flush()], packing.ARROW)
 
-    first = keyed_documents(docs).mapInArrow(halves, packing.SCHEMA)
+    first = keyed_documents(docs, mixed).mapInArrow(halves, packing.SCHEMA)
     half = first.groupBy("bucket").applyInArrow(repeated_halves, packing.SCHEMA)
     second = homes.groupBy("bucket").cogroup(half.groupBy("bucket")).applyInArrow(doubled, packing.SCHEMA)
     return second.groupBy("bucket").applyInArrow(lambda table: repeated(table, n_homes, first_too), packing.SCHEMA)
@@ -124,9 +133,10 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
     A word goes if a window of `width` words that covers it also starts in a document with a smaller key.
     """
-    n_homes = buckets_for(docs.sparkSession, text_bytes(docs))
-    homes = at_home(docs, n_homes)
-    gone = removed_windows(docs, homes, n_homes, width)
+    total, mixed = measured(docs)
+    n_homes = buckets_for(docs.sparkSession, total)
+    homes = at_home(docs, n_homes, mixed)
+    gone = removed_windows(docs, homes, n_homes, total, mixed, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(texts: pa.Table, notes: pa.Table) -> pa.Table:
@@ -150,9 +160,10 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 def longest_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """k (the key, nulls last) and words: the longest of width, 2 width, 4 width, ... at which a window of the document also
     stands in another one. Documents without a repeat have no row."""
-    n_homes = buckets_for(docs.sparkSession, text_bytes(docs))
-    homes = at_home(docs, n_homes)
-    found, out = saved(removed_windows(docs, homes, n_homes, width, first_too=True)), None
+    total, mixed = measured(docs)
+    n_homes = buckets_for(docs.sparkSession, total)
+    homes = at_home(docs, n_homes, mixed)
+    found, out = saved(removed_windows(docs, homes, n_homes, total, mixed, width, first_too=True)), None
 
     def doubled_at(half: int):
         def run(texts: pa.Table, notes: pa.Table) -> pa.Table:
