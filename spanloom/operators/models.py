@@ -39,6 +39,32 @@ def vectors(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray],
     return _batched(df, text, "vec", T.ArrayType(T.FloatType()), lambda texts: [v.tolist() for v in encode(texts)], batch)
 
 
+def library_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """Makes a worker's function from texts to their numbers of tokens, by the tokenizer in a file."""
+
+    def make() -> Callable[[list[str]], list[int]]:
+        from tokenizers import Tokenizer
+
+        one = Tokenizer.from_file(path)
+        one.encode_special_tokens = True
+        return lambda texts: [len(one.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    return make
+
+
+def token_counts(df: DataFrame, names: dict[str, str], make: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
+    """df with the number of tokens of some text columns (by their new names); null texts count as empty. make runs once a task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = make()
+        for f in frames:
+            for text, name in names.items():
+                f[name] = count([t or "" for t in f[text]])
+            yield f
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(name, T.LongType()) for name in names.values())]))
+
+
 def generated(df: DataFrame, text: str, generate: Callable[[list[str]], list[str]], batch: int = 16, prefix: str = "") -> DataFrame:
     """df with generated; null texts count as empty."""
     return _batched(df, text, "generated", T.StringType(), lambda texts: generate([prefix + t for t in texts]), batch)

@@ -12,6 +12,8 @@ from spanloom.plans.fixtures import CHAPTER, Fixtures, keeps
 from spanloom.plans.registry import query
 
 KEY = "book_id, chapter_idx"
+#: Chapter numbers that share a row of a book's list.
+LISTED = 1 << 16
 
 
 def paragraphs_with_counts(fx: Fixtures) -> DataFrame:
@@ -30,7 +32,8 @@ query("gen2_paragraphs_with_sentence_counts", """SELECT p.book_id, p.chapter_idx
 def src1(fx: Fixtures) -> DataFrame:
     from spanloom.sources.readers import metadata_rows
 
-    listed = fx.chapters.groupBy("book_id").agg(F.array_sort(F.collect_list("chapter_idx")).alias("idxs"))
+    # a book's list in rows of bounded size: one for each block of chapter numbers
+    listed = fx.chapters.groupBy("book_id", F.floor(F.col("chapter_idx") / LISTED).alias("block")).agg(F.array_sort(F.collect_list("chapter_idx")).alias("idxs"))
     titles = F.transform("idxs", lambda i: F.concat(F.lit("Chapter "), (i + 1).cast("string")))
     as_json = listed.select(F.to_json(F.map_from_arrays(F.array("book_id"), F.array(F.struct(F.concat(F.lit("Book of "), "book_id").alias("book_title"), F.lit("unknown").alias("author"), titles.alias("listed_titles"), F.col("idxs").alias("chapter_idxs"))))).alias("value"))
     return metadata_rows(as_json)

@@ -10,16 +10,6 @@ from spanloom.plans.fixtures import CHAPTER, Fixtures, keeps, running
 from spanloom.plans.registry import query
 
 
-def literal(fx: Fixtures, rows: list[tuple], schema: str) -> DataFrame:
-    return fx.spark.createDataFrame(rows, schema)
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """The same rows as DuckDB VALUES."""
-    say = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) AS t({names})"
-
-
 @query("n1_ascii_text", r"SELECT doc_id AS chapter_idx, md5(regexp_replace(translate(translate(text, '‘’“”', '''''""'), '‐‑‒–—―', '------'), '[^\x00-\x7F]', '', 'g')) AS digest FROM documents")
 def n1(fx: Fixtures) -> DataFrame:
     return fx.chapters.select("chapter_idx", F.md5(tx.ascii_text(F.col("original"))).alias("digest"))
@@ -35,18 +25,49 @@ def n3(fx: Fixtures) -> DataFrame:
     return fx.chapters.select("chapter_idx", F.md5(tx.squeezed(F.col("original"))).alias("digest"))
 
 
-NUMBERS = [("twenty-one", 21), ("one hundred and five", 105), ("three thousand two hundred forty", 3240), ("seven", 7), ("nineteen hundred", 1900), ("two million", 2000000)]
-ROMANS = [("XIV", 14), ("iv", 4), ("MCMXCIX", 1999), ("LXXX", 80), ("i", 1)]
+def number_in_words(n: Column) -> Column:
+    """1 to 999,999 in words, as headings spell it: with a hyphen, and with `and` before what follows a hundred."""
+    units, tens = (F.array(*map(F.lit, x)) for x in (tx.UNITS, tx.TENS))
+    small = lambda x: F.when(x < 20, F.get(units, x)).otherwise(F.concat(F.get(tens, (x / 10 - 2).cast("int")), F.when(x % 10 > 0, F.concat(F.lit("-"), F.get(units, x % 10))).otherwise("")))
+
+    def below_thousand(x: Column) -> Column:
+        hundreds, rest = (x / 100).cast("int"), x % 100
+        return F.concat_ws(" and ", F.when(hundreds > 0, F.concat(F.get(units, hundreds), F.lit(" hundred"))), F.when((rest > 0) | (x == 0), small(rest)))
+
+    thousands = (n / 1000).cast("int")
+    return F.concat_ws(" ", F.when(thousands > 0, F.concat(below_thousand(thousands), F.lit(" thousand"))), F.when((n % 1000 > 0) | (n == 0), below_thousand((n % 1000).cast("int"))))
+
+
+ROMAN_DIGITS = [["", "M", "MM", "MMM"], *[["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c] for a, b, c in ("CDM", "XLC", "IVX")]]
+
 
+def roman_of(n: Column) -> Column:
+    """1 to 3,999 as a numeral."""
+    return F.concat(*[F.get(F.array(*map(F.lit, digits)), (n / 10**k).cast("int") % 10) for k, digits in zip((3, 2, 1, 0), ROMAN_DIGITS, strict=True)])
 
-@query("p3_number_words", f"SELECT words, CAST(n AS BIGINT) AS n FROM {values(NUMBERS, 'words, n')}")
+
+WORD_LISTS = "WITH l AS (SELECT " + ", ".join(f"[{', '.join(repr(w) for w in x)}] AS {name}" for name, x in (("u", tx.UNITS), ("t", tx.TENS))) + ")"
+SMALL = "CASE WHEN {0} < 20 THEN u[{0} + 1] ELSE t[{0} // 10 - 1] || CASE WHEN {0} % 10 > 0 THEN '-' || u[{0} % 10 + 1] ELSE '' END END"
+HUNDREDS = "concat_ws(' and ', CASE WHEN {0} >= 100 THEN u[{0} // 100 + 1] || ' hundred' END, CASE WHEN {0} % 100 > 0 OR {0} = 0 THEN " + SMALL.replace("{0}", "({0} % 100)") + " END)"
+IN_WORDS = f"concat_ws(' ', CASE WHEN n >= 1000 THEN {HUNDREDS.replace('{0}', '(n // 1000)')} || ' thousand' END, CASE WHEN n % 1000 > 0 OR n = 0 THEN {HUNDREDS.replace('{0}', '(n % 1000)')} END)"
+
+
+@query("p3_number_words", f"{WORD_LISTS} SELECT chapter_idx, {IN_WORDS} AS words, n FROM (SELECT doc_id AS chapter_idx, (doc_id * 37) % 1000000 AS n FROM documents), l")
 def p3(fx: Fixtures) -> DataFrame:
-    return literal(fx, [(w,) for w, _ in NUMBERS], "words string").select("words", tx.number_words(F.col("words")).alias("n"))
+    """Chapter numbers spelled out as a heading would, and read again."""
+    words = fx.chapters.select("chapter_idx", number_in_words(F.col("chapter_idx") * 37 % 1000000).alias("words"))
+    return words.select("chapter_idx", "words", tx.number_words(F.col("words")).alias("n"))
+
+
+ROMAN_SQL = " || ".join(f"[{', '.join(repr(d) for d in digits)}][n // {10**k} % 10 + 1]" for k, digits in zip((3, 2, 1, 0), ROMAN_DIGITS, strict=True))
 
 
-@query("p4_roman_numerals", f"SELECT numeral, CAST(n AS BIGINT) AS n FROM {values(ROMANS, 'numeral, n')}")
+@query("p4_roman_numerals", f"SELECT chapter_idx, CASE WHEN chapter_idx % 2 = 0 THEN {ROMAN_SQL} ELSE lower({ROMAN_SQL}) END AS numeral, n FROM (SELECT doc_id AS chapter_idx, doc_id % 3999 + 1 AS n FROM documents)")
 def p4(fx: Fixtures) -> DataFrame:
-    return literal(fx, [(r,) for r, _ in ROMANS], "numeral string").select("numeral", tx.roman_number(F.col("numeral")).alias("n"))
+    """Chapter numbers as numerals, in capitals or not, and read again."""
+    numeral = roman_of(F.col("chapter_idx") % 3999 + 1)
+    made = fx.chapters.select("chapter_idx", F.when(F.col("chapter_idx") % 2 == 0, numeral).otherwise(F.lower(numeral)).alias("numeral"))
+    return made.select("chapter_idx", "numeral", tx.roman_number(F.col("numeral")).alias("n"))
 
 
 @query("p5_titles", "SELECT book_id, chapter_idx, 'Book ' || (chapter_idx % 3 + 1) || CASE WHEN chapter_idx % 2 = 0 THEN ' - ' || book_id ELSE '' END || ' | Chapter ' || chapter_idx || CASE WHEN chapter_idx % 5 = 0 THEN ': Five' ELSE '' END AS title FROM chapters")
@@ -55,28 +76,73 @@ def p5(fx: Fixtures) -> DataFrame:
     return fx.chapters.select(*CHAPTER, tx.title_text(i % 3 + 1, F.when(i % 2 == 0, F.col("book_id")), i, F.when(i % 5 == 0, F.lit("Five"))).alias("title"))
 
 
-LEFT = [(1, 1, "THE START"), (1, 2, "Middle"), (1, 3, "The End of It"), (2, 1, "Only Left")]
-RIGHT = [(1, 1, "The Start"), (1, 2, "Middle Part"), (1, 3, "THE END OF IT"), (2, 2, "Only Right")]
-TITLES = "book bigint, chapter bigint, title string"
+SMALL_LETTERS, CAPITALS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query("p6_title_match", f"""SELECT CAST(a.book AS BIGINT) AS book, CAST(a.chapter AS BIGINT) AS chapter, CASE WHEN a.title = upper(a.title) AND b.title <> upper(b.title) THEN b.title WHEN b.title = upper(b.title) AND a.title <> upper(a.title) THEN a.title
-  WHEN length(b.title) > length(a.title) THEN b.title ELSE a.title END AS title FROM {values(LEFT, 'book, chapter, title').replace('AS t(', 'AS a(')} JOIN {values(RIGHT, 'book, chapter, title').replace('AS t(', 'AS b(')} USING (book, chapter)""")
-def p6(fx: Fixtures) -> DataFrame:
+def in_capitals(title: Column) -> Column:
+    return F.translate(title, SMALL_LETTERS, CAPITALS)
+
+
+def editions(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """book_id, chapter_idx, title of two editions of all chapters: the first words, in one of them here and there in capitals or longer. Each lacks some chapters."""
+    i, base = F.col("chapter_idx"), F.array_join(F.slice(F.split("original", " ", -1), 1, 3), " ")
+    one = F.when(i % 4 == 0, in_capitals(base)).otherwise(base)
+    two = F.when(i % 4 == 1, in_capitals(base)).when(i % 4 == 2, F.concat(base, F.lit(" again"))).otherwise(base)
+    return tuple(fx.chapters.where(i % lacking > 0).select(*CHAPTER, title.alias("title")) for title, lacking in ((one, 5), (two, 7)))
+
+
+CAPS = f"translate({{0}}, '{SMALL_LETTERS}', '{CAPITALS}')"
+BASE = "array_to_string(string_split(original, ' ')[1:3], ' ')"
+EDITIONS = f"""WITH e1 AS (SELECT book_id, chapter_idx, CASE WHEN chapter_idx % 4 = 0 THEN {CAPS.format(BASE)} ELSE {BASE} END AS title FROM chapters WHERE chapter_idx % 5 > 0),
+e2 AS (SELECT book_id, chapter_idx, CASE chapter_idx % 4 WHEN 1 THEN {CAPS.format(BASE)} WHEN 2 THEN {BASE} || ' again' ELSE {BASE} END AS title FROM chapters WHERE chapter_idx % 7 > 0)"""
+LOUD = f"({{0}} = {CAPS} AND {{0}} <> translate({{0}}, '{CAPITALS}', '{SMALL_LETTERS}'))"
+MATCH_SQL = f"CASE WHEN {LOUD.format('a.title')} AND NOT {LOUD.format('b.title')} THEN b.title WHEN {LOUD.format('b.title')} AND NOT {LOUD.format('a.title')} THEN a.title WHEN length(b.title) > length(a.title) THEN b.title ELSE a.title END"
+
+
+def matched(a: Column, b: Column) -> Column:
     """Of two titles of one chapter the one that is not all capitals, else the longer, of equals the first."""
-    joined = literal(fx, LEFT, TITLES).join(literal(fx, RIGHT, TITLES).withColumnRenamed("title", "other"), ["book", "chapter"])
-    loud = lambda c: F.col(c) == F.upper(c)
-    best = F.when(loud("title") & ~loud("other"), F.col("other")).when(loud("other") & ~loud("title"), F.col("title")).when(F.length("other") > F.length("title"), F.col("other")).otherwise(F.col("title"))
-    return joined.select("book", "chapter", best.alias("title"))
+    loud = lambda c: (c == in_capitals(c)) & (c != F.translate(c, CAPITALS, SMALL_LETTERS))
+    return F.when(loud(a) & ~loud(b), b).when(loud(b) & ~loud(a), a).when(F.length(b) > F.length(a), b).otherwise(a)
 
 
-@query("p7_unmatched_titles", f"SELECT 'left' AS side, CAST(book AS BIGINT) AS book, CAST(chapter AS BIGINT) AS chapter FROM {values(LEFT, 'book, chapter, title')} WHERE (book, chapter) NOT IN (SELECT (book, chapter) FROM {values(RIGHT, 'book, chapter, title')}) UNION ALL SELECT 'right', CAST(book AS BIGINT), CAST(chapter AS BIGINT) FROM {values(RIGHT, 'book, chapter, title')} WHERE (book, chapter) NOT IN (SELECT (book, chapter) FROM {values(LEFT, 'book, chapter, title')})")
+@query("p6_title_match", f"{EDITIONS} SELECT a.book_id, a.chapter_idx, {MATCH_SQL} AS title FROM e1 a JOIN e2 b USING (book_id, chapter_idx)")
+def p6(fx: Fixtures) -> DataFrame:
+    a, b = editions(fx)
+    return a.join(b.withColumnRenamed("title", "other"), CHAPTER).select(*CHAPTER, matched(F.col("title"), F.col("other")).alias("title"))
+
+
+@query("p7_unmatched_titles", f"{EDITIONS} SELECT 'left' AS side, book_id, chapter_idx FROM e1 ANTI JOIN e2 USING (book_id, chapter_idx) UNION ALL SELECT 'right', book_id, chapter_idx FROM e2 ANTI JOIN e1 USING (book_id, chapter_idx)")
 def p7(fx: Fixtures) -> DataFrame:
-    a, b = literal(fx, LEFT, TITLES), literal(fx, RIGHT, TITLES)
-    miss = lambda x, y, side: x.join(y, ["book", "chapter"], "left_anti").select(F.lit(side).alias("side"), "book", "chapter")
+    a, b = editions(fx)
+    miss = lambda x, y, side: x.join(y, CHAPTER, "left_anti").select(F.lit(side).alias("side"), *CHAPTER)
     return miss(a, b, "left").unionByName(miss(b, a, "right"))
 
 
+def resolved(source: DataFrame, target: DataFrame) -> DataFrame:
+    """book_id, chapter_idx, title and resolved: titles of the source that the target has in another form, which the match prefers.
+
+    Blocked on book and chapter, which a match asks for; the condition on the titles is part of the join.
+    """
+    other = target.withColumnRenamed("title", "resolved")
+    new = source.join(target, [*CHAPTER, "title"], "left_anti")
+    same = (new["book_id"] == other["book_id"]) & (new["chapter_idx"] == other["chapter_idx"])
+    return new.join(other, same & (matched(new["title"], other["resolved"]) == other["resolved"])).select(new["book_id"], new["chapter_idx"], new["title"], "resolved")
+
+
+def resolved_sql(a: str, b: str, match: str) -> str:
+    return f"SELECT x.book_id, x.chapter_idx, x.title, y.title AS resolved FROM {a} x JOIN {b} y ON x.book_id = y.book_id AND x.chapter_idx = y.chapter_idx AND {match} = y.title WHERE NOT EXISTS (SELECT 1 FROM {b} z WHERE z.book_id = x.book_id AND z.chapter_idx = x.chapter_idx AND z.title = x.title)"
+
+
+XY = MATCH_SQL.replace("a.title", "x.title").replace("b.title", "y.title")
+
+
+@query("jn12_resolved_titles", f"{EDITIONS} SELECT 'left' AS side, * FROM ({resolved_sql('e1', 'e2', XY)}) UNION ALL SELECT 'right' AS side, * FROM ({resolved_sql('e2', 'e1', XY)})")
+def jn12_resolved(fx: Fixtures) -> DataFrame:
+    """Titles without an equal in the other edition, resolved both ways."""
+    a, b = editions(fx)
+    return resolved(a, b).withColumn("side", F.lit("left")).unionByName(resolved(b, a).withColumn("side", F.lit("right")))
+
+
 BOOKS = """WITH p AS (SELECT chapter_idx, par_idx, regexp_replace(text, '\\s+$', '') AS line, row_number() OVER (PARTITION BY chapter_idx ORDER BY par_idx) AS n FROM par0 WHERE trim(text, chr(10) || chr(9) || chr(13) || ' ') <> '')"""
 
 
@@ -171,14 +237,23 @@ def tok5(fx: Fixtures) -> DataFrame:
     return fx.segments.where(F.size(t) > 0).select("chapter_idx", "seg_idx", F.md5(F.array_join(t, "")).alias("digest"))
 
 
-CELLS = [(1, "[1] foo\t[2] bar\n[3] z", "[1] a"), (2, "[4] x", None), (3, None, "[2] b\n[3] c"), (4, "no number", "")]
+ITEMS_SQL = "list_transform({0}_segments, lambda s, i: '[' || {0}_nums[i] || '] ' || s)"
+CELL_SQL = f"CASE WHEN row % 2 = 0 THEN array_to_string({ITEMS_SQL}, chr(10)) ELSE array_to_string({ITEMS_SQL}, chr(9)) END"
+NUMBERS_SQL = r"list_transform(regexp_extract_all({0}, '\[([0-9]+)\](.*)', 1), lambda x: CAST(x AS BIGINT))"
 
 
-@query("val1_sheet_cells", "SELECT CAST(id AS BIGINT) AS id, original, abridged FROM (VALUES (1, [CAST(1 AS BIGINT), 3], [CAST(1 AS BIGINT)]), (2, [CAST(4 AS BIGINT)], CAST([] AS BIGINT[])), (3, CAST([] AS BIGINT[]), [CAST(2 AS BIGINT), 3])) AS t(id, original, abridged)")
+@query("val1_sheet_cells", f"WITH c AS (SELECT chapter_idx, row, {CELL_SQL.format('original')} AS o, {CELL_SQL.format('abridged')} AS a FROM grouped), n AS (SELECT chapter_idx, row, {NUMBERS_SQL.format('o')} AS original, {NUMBERS_SQL.format('a')} AS abridged FROM c) SELECT chapter_idx, row, array_to_string(original, ',') AS original, array_to_string(abridged, ',') AS abridged FROM n WHERE len(original) > 0 OR len(abridged) > 0")
 def val1(fx: Fixtures) -> DataFrame:
-    """One number per line; rows without a number on either side go."""
-    out = literal(fx, CELLS, "id bigint, o string, a string").select("id", tx.first_numbers(F.col("o")).alias("original"), tx.first_numbers(F.col("a")).alias("abridged"))
-    return out.where((F.size("original") > 0) | (F.size("abridged") > 0))
+    """Cells of review sheets, with a line for each segment or all in one: a number per line; rows without a number on either side go."""
+    between = F.when(F.col("row") % 2 == 0, "\n").otherwise("\t")
+
+    def cell(side: str) -> Column:
+        items = F.transform(f"{side}_segments", lambda s, i: F.concat(F.lit("["), F.get(F.col(f"{side}_nums"), i).cast("string"), F.lit("] "), s))
+        return F.reduce(items, F.lit(""), lambda text, x: F.concat(text, F.when(text == "", "").otherwise(between), x))
+
+    read = fx.grouped.select("chapter_idx", "row", tx.first_numbers(cell("original")).alias("original"), tx.first_numbers(cell("abridged")).alias("abridged"))
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return read.where((F.size("original") > 0) | (F.size("abridged") > 0)).select("chapter_idx", "row", listed("original"), listed("abridged"))
 
 
 @query("pck1_restored_breaks", "SELECT chapter_idx, seg_idx, text || CASE WHEN lead(par_idx) OVER w <> par_idx THEN chr(10) ELSE '' END AS text FROM (SELECT chapter_idx, seg_idx, par_idx, rtrim(text, chr(10)) AS text FROM segments) WINDOW w AS (PARTITION BY chapter_idx ORDER BY seg_idx)")

@@ -32,6 +32,17 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.write.options(**whole).csv(path)
 
 
+def write_sheets(df: DataFrame, path: str) -> None:
+    """Review sheets in a folder for each book and validator."""
+    df.write.partitionBy("book_id", "validator").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_score_json(df: DataFrame, path: str) -> None:
+    """{book: {score: value, ...}} to a line for each book_id."""
+    scores = F.struct(*[c for c in df.columns if c != "book_id"])
+    df.select(F.to_json(F.map_from_arrays(F.array("book_id"), F.array(scores))).alias("value")).write.text(path)
+
+
 def write_packed(df: DataFrame, path: str) -> None:
     """book_id, chapter_idx and a struct per version: one chapter to a line, in a folder per book."""
     df.write.partitionBy("book_id").json(path)
