@@ -33,8 +33,7 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int
     while g >= 0:
         mine = [i for i in group[g] if home[i] == g]
         if mine:
-            mine.sort()
-            group[g] = mine
+            group[g] = mine  # in the order of the text, as members always are: see below
             order.append(g)
             links: dict[int, int] = {}
             for i in mine:
@@ -45,25 +44,26 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int
                 if j >= 0:
                     before[i] = j
                     links[j] = links.get(j, 0) + 1
-            moves: dict[tuple[int, int], list[int]] = {}
+            # A link is the last suffix before i that is not done, so links come in the order of the text. They are dealt by how
+            # many members link to them: in ascending counts each home's new group goes right above the one before it.
+            by_count: list[list[int]] = [[] for _ in range(max(links.values(), default=0) + 1)]
             for j, k in links.items():
-                if (at := (home[j], k)) in moves:
-                    moves[at].append(j)
-                else:
-                    moves[at] = [j]
-            # in ascending k, so that each new group goes right above the one before it
-            last = top = -1
-            for (h, _), moved in sorted(moves.items()) if len(moves) > 1 else moves.items():
-                if h != last:
-                    last = top = h
-                new, up = len(group), higher[top]
-                group.append(moved)
-                lower.append(top)
-                higher.append(up)
-                higher[top] = lower[up] = new
-                for j in moved:
+                by_count[k].append(j)
+            top: dict[int, int] = {}  # by home
+            for some in by_count:
+                opened: dict[int, int] = {}
+                for j in some:
+                    h = home[j]
+                    if (new := opened.get(h)) is None:
+                        at = top.get(h, h)
+                        new, up = len(group), higher[at]
+                        group.append([])
+                        lower.append(at)
+                        higher.append(up)
+                        higher[at] = lower[up] = opened[h] = new
+                    group[new].append(j)
                     home[j] = new
-                top = new
+                top.update(opened)
         g = lower[g]
     order.reverse()
     return order, group, home, before
