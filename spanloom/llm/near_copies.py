@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from spanloom.llm.components import components
 from spanloom.llm.runtime import annotated, buckets_for, fresh, let_go, saved, small_batches, text_bytes
 from spanloom.llm.simhash import fingerprints_of, links as print_links
 
-#: Counts of shingles by the first 16 bits of their hash travel in so many parts.
-PARTS = 64
+#: Counts of shingles by the first 16 bits of their hash travel in so many parts, and those of so many tasks meet first.
+PARTS, SUMMED = 64, 1024
 #: Which sets are wanted for verification is told by a bit table of fixed size first, then by a join.
 BITS = 1 << 24
 LOW = U64((1 << 48) - 1)
@@ -100,7 +101,7 @@ def column_names(width: int, ranks: np.ndarray):
 
 
 def rarity(docs: DataFrame, width: int, text: str) -> np.ndarray:
-    """The rank of each hash bucket by how many shingles of documents fall into it: one packed table of fixed size per task."""
+    """The rank of each hash bucket by how many shingles of documents fall into it: one packed table of fixed size per task, summed in two rounds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -108,14 +109,17 @@ def rarity(docs: DataFrame, width: int, text: str) -> np.ndarray:
             raw, offsets = buffers(b.column(0))
             for _, _, cut, at in slices(raw, offsets):
                 total += np.bincount((shingles_of(cut, at, width)[1] >> U64(48)).astype(np.int64), minlength=1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)])], ["part", "counts"])
+        task = TaskContext.get().partitionId() // SUMMED
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)])], ["part", "tasks", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()])], ["part", "counts"])
+        return pa.table([*(table.column(c).slice(0, 1) for c in ("part", "tasks")), pa.array([total.tobytes()])], ["part", "tasks", "counts"])
 
-    kind = "part int, counts binary"
-    found = sorted(docs.select(text).mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect())  # PARTS rows
+    kind = "part int, tasks int, counts binary"
+    # sums of SUMMED tasks each, then of these: a group holds some MB at any number of tasks
+    some = docs.select(text).mapInArrow(count, kind).groupBy("part", "tasks").applyInArrow(add, kind)
+    found = sorted(some.groupBy("part").applyInArrow(add, kind).collect())  # PARTS rows
     ranks = np.zeros(1 << 16, U64)
     if found:
         ranks[np.argsort(np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found]), kind="stable")] = np.arange(1 << 16, dtype=U64)
