@@ -1,12 +1,13 @@
 """Substring dedup by level-wise doubling over word windows.
 
-Level 1 looks at windows of half the asked length (rounded up), sampled so that every asked window holds a
-sampled one at the same place in each of its occurrences: the one of least hash. Those that occur in one
-document only drop out. What is left is extended to the full length and counted again. That settles what goes;
+The asked length is halved (rounded up) down to a few words: 13, 7, 4. The first level looks at windows of the shortest length,
+sampled so that every asked window holds a sampled window of each length at the same places in each of its occurrences: of its halves the
+one of least hash, and so on down. Those that occur in one document only drop out. What is left is extended to about twice
+its length and counted again, until the asked length. That settles what goes;
 `longest_repeats` doubles further, windows whose two halves both repeat, until no candidate survives. Each level
 moves packed hashes only; texts move once (once a level in `longest_repeats`), to the bucket of their key.
 
-A window's level-2 hash has 64 stored bits beside the bits that choose its bucket (a bucket holds some MB at any
+A window's last hash has 64 stored bits (40 at the levels before) beside the bits that choose its bucket (a bucket holds some MB at any
 input size, so the bucket bits grow with the input).
 
 Defined cases: null and empty texts have no words; null keys count as one document after all others; rows
@@ -16,7 +17,7 @@ empty tables give no rows. Windows never cross documents. A document longer than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,41 @@ from spanloom.llm.arrays import U64, buffers, rows_of, run_hashes, slices, span_
 from spanloom.llm.runtime import buckets_for, saved, small_batches
 
 LAST = (1 << 63) - 1
+#: Windows of so many words are not halved again.
+SHORTEST = 4
 
 
-def sampled(h: np.ndarray, first: np.ndarray, width: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of whole windows, the start of each one's least part-window (leftmost of equals), and the parts' hashes."""
-    if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    small = run_hashes(h, part)
+def levels(width: int) -> list[int]:
+    """Window lengths from the shortest up: each the half (rounded up) of the next."""
+    out = [width]
+    while out[0] > SHORTEST or len(out) < 2:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def least_parts(h: np.ndarray, width: int, part: int) -> np.ndarray:
+    """For each window of `width` items the start of its part of least hash (leftmost of equals)."""
     n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    small = run_hashes(h, part)
     least, at = small[:n].copy(), np.arange(n)
     for j in range(1, width - part + 1):
         better = small[j : n + j] < least
         least[better] = small[j : n + j][better]
         at[better] = np.flatnonzero(better) + j
-    starts = np.flatnonzero(whole(first, width, len(h)))
-    return starts, at[starts], small
+    return at
+
+
+def sampled(h: np.ndarray, first: np.ndarray, lengths: list[int], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of lengths[level] that are looked at, and of each one's part of the length before (level 0: themselves).
+
+    Of the longest length these are all windows within a row; of each shorter one the least parts of those of the next.
+    """
+    starts = np.flatnonzero(whole(first, lengths[-1], len(h)))
+    for k in range(len(lengths) - 1, level, -1):
+        starts = np.unique(least_parts(h, lengths[k], lengths[k - 1])[starts])
+    return starts, least_parts(h, lengths[level], lengths[level - 1])[starts] if level else starts
 
 
 def keyed_documents(docs: DataFrame, mixed: bool = True) -> DataFrame:
@@ -81,23 +102,23 @@ def repeated(table: pa.Table, n_homes: int, first_too: bool) -> pa.Table:
 
 def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, total: int, mixed: bool, width: int, first_too: bool = False) -> DataFrame:
     """Packed notes (key, tag, start in words) of the windows to remove; with first_too of all that repeat."""
-    part = (width + 1) // 2
-    n_buckets = buckets_for(docs.sparkSession, 3 * total)
+    n_buckets, lengths = buckets_for(docs.sparkSession, 3 * total), levels(width)
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packing.Packer(5)
         for b in batches:
             keys, tags = np.asarray(b.column(0)), np.asarray(b.column(3))
             raw, offsets = buffers(b.column(2))
             for i, _, cut, cut_offsets in slices(raw, offsets):
                 starts, ends, first = words(cut, cut_offsets)
-                _, at, small = sampled(span_hashes(cut, starts, ends), first, width, part)
-                at = np.unique(at)
+                h = span_hashes(cut, starts, ends)
+                at, _ = sampled(h, first, lengths, 0)
+                small = run_hashes(h, lengths[0])[at] if len(at) else np.zeros(0, U64)
                 row = np.searchsorted(first, at, "right") - 1
-                yield from packer.add(packing.bucket_of(small[at], n_buckets), small[at], keys[i + row], at - first[row], tags[i + row])
+                yield from packer.add(packing.bucket_of(small, n_buckets), small, keys[i + row], at - first[row], tags[i + row])
         yield from packer.flush()
 
-    def repeated_halves(table: pa.Table) -> pa.Table:
+    def in_several(table: pa.Table) -> pa.Table:
         h, keys, spots, tags = packing.unpack(table, 5)
         order, at = packing.groups(h)
         k = keys[order]
@@ -105,27 +126,34 @@ def removed_windows(docs: DataFrame, homes: DataFrame, n_homes: int, total: int,
         kept = order[np.repeat(many, np.diff(at, append=len(k)))]
         return packing.sent_home(n_homes, keys[kept], tags[kept], spots[kept])
 
-    def doubled(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        keys, tags = np.asarray(texts.column("k")), np.asarray(texts.column("tag"))
-        known, packer, out = packing.Notes(notes), packing.Packer(8), []
-        raw, offsets = buffers(texts.column("text"))
-        for i, j, cut, cut_offsets in slices(raw, offsets):
-            starts, ends, first = words(cut, cut_offsets)
-            h = span_hashes(cut, starts, ends)
-            window, at, _ = sampled(h, first, width, part)
-            note, row = known.of(keys[i:j], tags[i:j])
-            alive = np.zeros(len(h) + 1, bool)
-            alive[known.spots[note] + first[row]] = True
-            window = window[alive[at]]
-            row = np.searchsorted(first, window, "right") - 1
-            full, other = (run_hashes(h, width, f)[window] if len(window) else np.zeros(0, U64) for f in (0, 1))
-            out += packer.add(packing.bucket_of(other, n_buckets), full, keys[i + row], window - first[row], tags[i + row])
-        return pa.Table.from_batches([*out, *packer.flush()], packing.ARROW)
-
-    first = keyed_documents(docs, mixed).mapInArrow(halves, packing.SCHEMA)
-    half = first.groupBy("bucket").applyInArrow(repeated_halves, packing.SCHEMA)
-    second = homes.groupBy("bucket").cogroup(half.groupBy("bucket")).applyInArrow(doubled, packing.SCHEMA)
-    return second.groupBy("bucket").applyInArrow(lambda table: repeated(table, n_homes, first_too), packing.SCHEMA)
+    def extended(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        """Windows of a level whose part of the level before is among the notes."""
+        last = level == len(lengths) - 1
+
+        def run(texts: pa.Table, notes: pa.Table) -> pa.Table:
+            keys, tags = np.asarray(texts.column("k")), np.asarray(texts.column("tag"))
+            known, packer, out = packing.Notes(notes), packing.Packer(8 if last else 5), []
+            raw, offsets = buffers(texts.column("text"))
+            for i, j, cut, cut_offsets in slices(raw, offsets):
+                starts, ends, first = words(cut, cut_offsets)
+                h = span_hashes(cut, starts, ends)
+                window, part = sampled(h, first, lengths, level)
+                note, row = known.of(keys[i:j], tags[i:j])
+                alive = np.zeros(len(h) + 1, bool)
+                alive[known.spots[note] + first[row]] = True
+                window = window[alive[part]]
+                row = np.searchsorted(first, window, "right") - 1
+                full, other = (run_hashes(h, lengths[level], f)[window] if len(window) else np.zeros(0, U64) for f in (0, 1))
+                out += packer.add(packing.bucket_of(other if last else full, n_buckets), full, keys[i + row], window - first[row], tags[i + row])
+            return pa.Table.from_batches([*out, *packer.flush()], packing.ARROW)
+
+        return run
+
+    found = keyed_documents(docs, mixed).mapInArrow(shortest, packing.SCHEMA)
+    for level in range(1, len(lengths)):
+        known = found.groupBy("bucket").applyInArrow(in_several, packing.SCHEMA)
+        found = homes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(extended(level), packing.SCHEMA)
+    return found.groupBy("bucket").applyInArrow(lambda table: repeated(table, n_homes, first_too), packing.SCHEMA)
 
 
 def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:

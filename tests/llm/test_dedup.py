@@ -180,3 +180,28 @@ def test_dense_groups_meet(spark):
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(symbols):
     assert suffix_array(symbols) == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+
+
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 13, 20])
+def test_levels(width):
+    """Every asked window holds a sampled window of each shorter length, at the same place in each of its occurrences."""
+    import numpy as np
+
+    lengths = substrings.levels(width)
+    assert lengths[-1] == width and all(a == (b + 1) // 2 for a, b in zip(lengths, lengths[1:], strict=False)) and len(lengths) >= 2
+    assert substrings.levels(13) == [4, 7, 13]
+    rng = np.random.default_rng(width)
+    h = rng.integers(0, 6, 300).astype(np.uint64)
+    h[200:240] = h[20:60]
+    first = np.array([0, 90, 90, 190, 300])
+    known = None
+    for level in range(len(lengths)):
+        starts, parts = substrings.sampled(h, first, lengths, level)
+        if known is not None:
+            assert set(parts.tolist()) <= known
+            assert all(s <= p and p + lengths[level - 1] <= s + lengths[level] for s, p in zip(starts.tolist(), parts.tolist(), strict=True))
+        if level:
+            shift = dict(zip(starts.tolist(), (parts - starts).tolist(), strict=True))
+            assert all(shift[i + 180] == shift[i] for i in range(20, 60 - lengths[level] + 1) if i in shift and i + 180 in shift)
+        known = set(starts.tolist())
+    assert known == {i for a, b in zip(first, first[1:], strict=False) for i in range(a, b - width + 1)}
