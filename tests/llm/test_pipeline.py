@@ -9,8 +9,9 @@ import pytest
 import sentencepiece
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_dedup import brute_components, brute_lines  # noqa: E402
+from test_dedup import brute_lines  # noqa: E402
 from test_models import nearest, plain  # noqa: E402
+from test_near_copies import brute  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -48,8 +49,8 @@ def test_line_stage(steps):
 
 
 def test_near_duplicate_stage(steps):
-    named = brute_components([(k, r.text) for k, r in steps[2].items()], width=5)
-    assert steps[3].keys() == {c for _, _, c in named}
+    """One document of each group that Jaccard similarities of 0.8 or more link."""
+    assert steps[3].keys() == brute([(k, r.text) for k, r in steps[2].items()])
 
 
 def test_decontamination_stage(spark, steps):
