@@ -13,29 +13,47 @@ from spanloom.llm.runtime import shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score 0.3 or more; learns from a bounded sample of the labelled ones."""
+    """Rejects documents that score 0.3 or more; learns from a bounded sample of the labelled ones.
+
+    Null and empty texts score the model's bias; repeated rows and keys are judged each by its text; a key's highest label counts; without
+    labels all documents stay; an empty table stays empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier line resembles by 0.8 or more; n_chars follows. Documents stay, if need be empty."""
+    """Takes out lines that an earlier line resembles by 0.8 or more; n_chars follows. Documents stay, if need be empty.
+
+    A null or empty text is one empty line; null keys come last; rows of one key go by their texts, equal rows get equal results; lines
+    without words stay. Texts are taken whole, whatever their length.
+    """
     kept = line_dedup.without_repeated_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: SimHash candidates from a grid join, an exact way for the rest, all verified."""
+    """Keeps one document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: SimHash candidates from a grid join, an exact way for the rest, all verified.
+
+    The smallest key stays, null keys come last, of equal keys one row. Texts without words are one group; texts of under five words
+    are their word sequence.
+    """
     return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within a fifth of its words in edits."""
+    """Drops documents that hold a benchmark item within a fifth of its words in edits.
+
+    Null and empty texts hold none; items without words are in no document; each row is judged by its text, whatever its key.
+    """
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids (little-endian 32-bit integers with begin and end) and n_tokens; the text is what the ids give back."""
+    """Adds ids (little-endian 32-bit integers with begin and end) and n_tokens; the text is what the ids give back.
+
+    A null text counts as empty and becomes empty; columns that have these names already are replaced; each row is coded by itself.
+    """
     return sentence_pieces.with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
