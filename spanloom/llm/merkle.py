@@ -137,8 +137,11 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     placed = numbered(leaves, "k", "node", "row").drop("row")
     rounds = climbed(placed)
     discard(leaves)
+    discard(placed)
     subroots = tops(rounds[-1]).select(F.lit("").alias("g"), F.col("g").alias("name"), "node")
-    trunk = climbed(numbered(subroots, "name"))
+    ordered = numbered(subroots, "name")
+    trunk = climbed(ordered)
+    discard(ordered)
     root = tops(trunk[-1]).select("g", F.col("node").alias("root"), F.array().cast("array<struct<before:string,after:string>>").alias("path"))
     above = descended(trunk, root).select(F.col("m.name").alias("g"), F.col("m.node").alias("subroot"), "root", "path")
     return descended(rounds, above).select(F.col("m.k").alias(key), F.col("m.node").alias("leaf"), F.col("m.changed").alias("changed_leaf"), "subroot", "root", "path")

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_repeats, decontamination, hash_forest, line_dedup, near_copies, sentence_pieces, simhash, substrings, token_counts, toxicity
+from spanloom.llm import byte_repeats, decontamination, hash_forest, languages, line_dedup, merkle, middles, near_copies, sentence_pieces, simhash, substrings, token_counts, toxicity
 
 CLASHES = ["leaks", "score", "ids", "n_tokens", "decoded", "__fp", "print", "sid", "root", "component", "rank", "row", "rk", "gone", "lines", "line", "k", "tag", "bucket", "words", "c0", "x0", "at", "Label", "toxic", "item_id", "SID"]
 
@@ -77,3 +77,15 @@ def test_scores_have_double_precision(spark):
     wanted = sorted(((-float(np.dot(rows[20][1], v)), i) for i, v in rows if i != 20))[:20]
     got = [r.vec_id for r in hash_forest.nearest_neighbours(table, F.col("vec_id") == 20).orderBy("rank").collect()]
     assert got == [i for _, i in wanted]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_manifest_languages_and_middles_ignore_other_columns(clashing, empty):
+    named = clashing.withColumns({"lang": F.when(F.col("text") == "short", "de").when(F.col("text").isNotNull(), "en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("bigint")})
+    for i, c in enumerate(("g", "n", "pos", "block", "node", "members", "widths", "levels", "path", "h", "family", "places", "form", "output", "t", "id")):
+        named = named.withColumn(c, F.lit(i))
+    table, n = (named.limit(0), 0) if empty else (named, 8)
+    found = merkle.manifest(table).collect()
+    assert len(found) == n and len({r.root for r in found}) == min(n, 1) and all(r.leaf == r.changed_leaf for r in found)
+    assert languages.predict(table, languages.fit(table)).count() == n
+    assert middles.fill_in_middle(table).count() == n

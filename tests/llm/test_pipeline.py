@@ -72,3 +72,12 @@ def test_encoding_stage(steps):
 
 def test_run_is_the_chain(spark, steps):
     assert {r.doc_id: (r.text, r.n_tokens) for r in pipeline.run(spark, SF).collect()} == {k: (r.text, r.n_tokens) for k, r in steps[5].items()}
+
+
+def test_toxicity_stage_on_awkward_rows(spark, awkward, nothing, tmp_path):
+    """Null and repeated keys, null texts, null labels and keys of labels; columns with names of its own."""
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = awkward.selectExpr("doc_id", "text", "1 AS score", "'x' AS toxic", "2 AS k")
+    kept = pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    assert pipeline.toxicity_stage(spark, nothing, str(tmp_path)).count() == 0
