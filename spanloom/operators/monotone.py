@@ -151,19 +151,26 @@ class GramRows:
 
     def __call__(self, t: int, lo: int, hi: int) -> np.ndarray:
         out = np.zeros((self.depths, self.widths, hi - lo))
-        counts, known = [], {}
-        for v in range(1, min(self.depths, t + 1) + 1):
-            counts.append(Counter(grams([x for s in self.target[t - v + 1 : t + 1] for x in s], self.n)))
-            for g in counts[-1]:
-                if g not in known and (row := self.counted(g)) is not None:
-                    known[g] = row[:, lo:hi]
+        number: dict = {}  # of each n-gram that the source has, else -1
+        known, added, tokens = [], [], []
+        for v in range(min(self.depths, t + 1)):
+            new = self.target[t - v]
+            tokens = new + tokens
+            own = grams(tokens[: len(new) + self.n - 1], self.n)[: len(new)]  # a longer window adds the n-grams that start in its first segment
+            for g in own:
+                if g not in number:
+                    row = self.counted(g)
+                    number[g] = -1 if row is None else len(known)
+                    known += [] if row is None else [row[:, lo:hi]]
+            added.append((len(own), [k for g in own if (k := number[g]) >= 0]))
         if len(self.rows) * self.widths * self.length > KEPT:
-            self.rows = {g: self.rows[g] for g in known}
+            self.rows = {g: self.rows[g] for g, k in number.items() if k >= 0}
         if known:
-            here = np.stack(list(known.values()))
-            for v, c in enumerate(counts):
-                most = np.array([c.get(g, 0) for g in known]).clip(max=self.top).astype(self.kind)
-                out[v] = np.minimum(here, most[:, None, None]).sum(axis=0, dtype=np.int64) / max(sum(c.values()), 1)
+            here, total, most = np.stack(known), 0, np.zeros(len(known), np.int64)
+            for v, (n, places) in enumerate(added):
+                total += n
+                most += np.bincount(np.array(places, np.int64), minlength=len(known))
+                out[v] = np.minimum(here, most.clip(max=self.top).astype(self.kind)[:, None, None]).sum(axis=0, dtype=np.int64) / max(total, 1)
         return out
 
 

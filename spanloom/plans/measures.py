@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import common_spans, metrics, monotone, rouge
+from spanloom.operators.containment import contained
 from spanloom.plans.fixtures import CHAPTER, RATERS, Fixtures
 from spanloom.plans.registry import query
 from spanloom.plans.texts import LABELS, labelled
@@ -430,9 +431,10 @@ def ovl1(fx: Fixtures) -> DataFrame:
 
 @query("ovl3_spans_within_segments", "SELECT o.chapter_idx, o.pos, o.a_end <= r.a_end AS inside FROM ovl o JOIN rws r ON r.chapter_idx = o.chapter_idx AND r.kept AND o.a_start >= r.a_start AND o.a_start < r.a_end")
 def ovl3(fx: Fixtures) -> DataFrame:
-    ends = fx.rows.where("kept").select(F.col("chapter_idx").alias("ch"), F.col("a_start").alias("s"), F.col("a_end").alias("e"))
-    joined = fx.overlaps.join(ends, (F.col("chapter_idx") == F.col("ch")) & (F.col("a_start") >= F.col("s")) & (F.col("a_start") < F.col("e")))
-    return joined.select("chapter_idx", "pos", (F.col("a_end") <= F.col("e")).alias("inside"))
+    """The segment in which each span starts comes from a sweep over both."""
+    segments = fx.rows.where("kept").select("chapter_idx", F.col("a_start").alias("s"), F.col("a_end").alias("e"))
+    met = contained(fx.overlaps.select("chapter_idx", "pos", "a_start", "a_end"), segments, inner_span=("a_start", "a_start"), outer_span=("s", "e"))
+    return met.select("chapter_idx", "inner.pos", (F.col("inner.a_end") <= F.col("outer.e")).alias("inside"))
 
 
 @query("ovl4_reorder_counts", "SELECT chapter_idx, CAST(sum(CAST(o_start < before AS INT)) AS BIGINT) AS n_reorders FROM (SELECT chapter_idx, o_start, coalesce(lag(o_start) OVER (PARTITION BY chapter_idx ORDER BY pos), -1) AS before FROM reordered) GROUP BY ALL")
