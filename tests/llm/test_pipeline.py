@@ -76,8 +76,15 @@ def test_run_is_the_chain(spark, steps):
 
 def test_toxicity_stage_on_awkward_rows(spark, awkward, nothing, tmp_path):
     """Null and repeated keys, null texts, null labels and keys of labels; columns with names of its own."""
-    spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = awkward.selectExpr("doc_id", "text", "1 AS score", "'x' AS toxic", "2 AS k")
+    clean, vile = [(i, f"a{i} b{i} c{i}") for i in range(300, 700)], [(i, f"vile words of number {i}") for i in range(200, 240)]  # mostly clean, and nothing but toxic texts share words
+    marks = [(1, 0), (2, 0), (None, 1), (3, None), *((i, 0) for i, _ in clean), *((i, 1) for i, _ in vile)]
+    spark.createDataFrame(marks, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = awkward.unionByName(spark.createDataFrame(clean + vile, "doc_id bigint, text string"))
+    docs = whole.selectExpr("doc_id", "text", "1 AS score", "'x' AS toxic", "2 AS k")
     kept = pipeline.toxicity_stage(spark, docs, str(tmp_path))
-    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    wanted = docs.where("doc_id IS NULL OR doc_id NOT BETWEEN 200 AND 239")
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, wanted.collect()))
     assert pipeline.toxicity_stage(spark, nothing, str(tmp_path)).count() == 0
+    marked = spark.createDataFrame([], "doc_id bigint, toxic int")
+    marked.write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert pipeline.toxicity_stage(spark, docs, f"{tmp_path}/none").count() == docs.count()
