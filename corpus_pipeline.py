@@ -16,7 +16,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rejects documents that score 0.3 or more; learns from a bounded sample of the labelled ones.
 
     Null and empty texts score the model's bias; repeated rows and keys are judged each by its text; a key's highest label counts; without
-    labels all documents stay; an empty table stays empty.
+    labels all documents stay; an empty table stays empty. So few labels that L1 leaves no weight (two, say) give every
+    text 0.5, so all documents go; texts without a learned feature have the bias, which needs labels that are mostly clean to fall under 0.3.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
