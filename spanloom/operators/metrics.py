@@ -56,6 +56,11 @@ def alignment_scores(predicted: DataFrame, gold: DataFrame, keys: list[str]) ->
     """Per key n_pred, n_gold, precision, recall, f1 over label pairs; a pair with NULL equals its like."""
     p, g = label_pairs(predicted, keys), label_pairs(gold, keys)
     marked = p.withColumn("p", F.lit(1)).withColumn("g", F.lit(0)).unionByName(g.withColumn("p", F.lit(0)).withColumn("g", F.lit(1)))
+    return marked_scores(marked, keys)
+
+
+def marked_scores(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """alignment_scores of label pairs (o, a) that columns p and g mark as predicted and as gold; a pair may stand in several rows."""
     # grouping treats NULLs as equal: one shuffle does for the null-safe intersection
     pairs = marked.groupBy(*keys, "o", "a").agg(F.max("p").alias("p"), F.max("g").alias("g"))
     sums = pairs.groupBy(*keys).agg(F.sum("p").cast("bigint").alias("n_pred"), F.sum("g").cast("bigint").alias("n_gold"), F.sum(F.col("p") * F.col("g")).alias("both"))

@@ -45,9 +45,10 @@ def scores(same_: Column, both: Column, predicted: Column, reference: Column) ->
 
 def rouge_n(pairs: DataFrame, key: str, sizes: tuple[int, ...] = (1, 2), predicted: str = "predicted", reference: str = "reference") -> DataFrame:
     """key, n, precision, recall, f1 for each n-gram size."""
-    sides = [pairs.select(key, F.lit(side).alias("side"), tx.words(F.col(c)).alias("w")) for side, c in ((0, predicted), (1, reference))]
+    # both sides from one row, so that pairs which are dealt by key stay where they are
+    words = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(side).alias("side"), tx.words(F.col(c)).alias("w")) for side, c in ((0, predicted), (1, reference))])).alias("s")).select(key, "s.side", "s.w")
     by_size = F.array(*[F.struct(F.lit(n).alias("n"), tx.ngrams(F.col("w"), n).alias("g")) for n in sizes])
-    flat = sides[0].unionByName(sides[1]).select(key, "side", F.explode(by_size).alias("x")).select(key, "side", F.col("x.n").alias("n"), F.explode("x.g").alias("gram"))
+    flat = words.select(key, "side", F.explode(by_size).alias("x")).select(key, "side", F.col("x.n").alias("n"), F.explode("x.g").alias("gram"))
     counts = flat.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("r"))
     sums = counts.groupBy(key, "n").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum(F.least("p", "r")).alias("both"))
     every = pairs.select(key, same(F.col(predicted), F.col(reference)).alias("same"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
