@@ -162,6 +162,15 @@ def test_rarity_is_counted_on_a_share_of_rows(spark):
     assert found[0] == found[1] and found[0][80][:5] == [0, 1, 2, 3, 4]
 
 
+def test_rarity_counts_the_words_of_all_rows(spark):
+    """Each word stands in one row alone, so a share of the rows would give most of them one rank."""
+    words = [f"word{i}" for i in range(12)]
+    rows = [(i, "\n".join([f"{w}\t{w}", *[f"{w} " * 5] * i, w])) for i, w in enumerate(words)]
+    ranks = line_dedup.rarity(spark.createDataFrame(rows, "row bigint, t string"))
+    codes = spark.range(1).select(*[line_dedup.by_rarity(F.lit(w), ranks)[0].alias(w) for w in words]).first()
+    assert list(codes) == sorted(codes) and len({c >> 56 for c in codes}) == 12
+
+
 def test_a_rare_word_is_told_from_a_common_one_beside_it(spark):
     """Two words that agree in 16 bits of their hashes have ranks of their own: else lines meet by words that many lines hold."""
     seen, found, i = {}, None, 0
