@@ -103,9 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
 
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(sample), "k")  # at most max_rows rows are broadcast
     # of the rows that share a key one is learned from, so that max_rows is the only bound
-    rows = texts.select(F.xxhash64("k").alias("order"), F.col("y").cast("int"), "t").mapInArrow(run, "order bigint, y int, at binary").groupBy("order", "y").agg(F.min("at").alias("at")).collect()
-    rows.sort(key=lambda r: (r["order"], r["y"], r["at"]))
-    return ftrl([(np.frombuffer(r["at"], "<i4").astype(np.int64), int(r["y"] > 0)) for r in rows], bits, alpha, beta, l1, l2, epochs)
+    rows = texts.select(F.xxhash64("k").alias("order"), F.col("y").cast("int"), "t").mapInArrow(run, "order bigint, y int, at binary").groupBy("order", "y").agg(F.min("at").alias("at")).toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("order", "y", "at")])
+    # views of the one table: the driver holds the features once, at 4 bytes each
+    return ftrl([(np.frombuffer(at.as_buffer(), "<i4"), int(y > 0)) for at, y in zip(rows["at"], rows["y"].to_pylist(), strict=True)], bits, alpha, beta, l1, l2, epochs)
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -304,3 +304,16 @@ def test_recall(spark, sf):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[i] & {j for j, _ in near}) for i, near in wanted.items())
     assert hits >= 0.9 * sum(len(n) for n in wanted.values())
+
+
+def test_toxicity_holds_a_sample_once_on_the_driver(spark, monkeypatch):
+    """What is learned from are views of the collected table, at 4 bytes a feature, texts without words included; not lists of their own at 8."""
+    seen, plain = [], toxicity.ftrl
+    monkeypatch.setattr(toxicity, "ftrl", lambda examples, *how: seen.extend(examples) or plain(examples, *how))
+    rows = [(i, f"word{i % 7} and text{i}") for i in range(50)] + [(50, ""), (51, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(52)], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, l1=0.0)
+    assert len(seen) == 52 and sorted(len(at) for at, _ in seen)[:3] == [0, 0, 6]
+    assert all(at.itemsize == 4 and not at.flags.owndata for at, _ in seen) and sum(y for _, y in seen) == 26
+    again = plain([(np.array(at, np.int64), y) for at, y in seen], 20, 1.0, 1.0, 0.0, 0.0, 8)
+    assert (model.at == again.at).all() and (model.weight == again.weight).all() and model.bias == again.bias
