@@ -214,3 +214,15 @@ def test_awkward_rows(docs, awkward, nothing):
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == brute(rows)
     assert near_copies.one_of_each(nothing).count() == 0
     assert {r.doc_id for r in near_copies.one_of_each(awkward).collect()} == {None, 1, 2}
+
+
+def test_rarity_rewrites_only_texts_with_odd_blanks(spark, monkeypatch):
+    """All words are counted as before, but a text is rewritten character by character only if it holds a blank that asks for it."""
+    words, rewritten = [f"word{i}" for i in range(4)], []
+    plain = line_dedup.spaced
+    monkeypatch.setattr(line_dedup, "spaced", lambda text: rewritten.append(text) or plain(text))
+    rows = [(i, f"{w}\n\n" * (10 * i + 1) + f"{w}\t{w}\r\n{w}\v{w}\f{w}  {w}") for i, w in enumerate(words)]
+    ranks = line_dedup.rarity(spark.createDataFrame([*rows, (9, None), (10, "")], "row bigint, t string"))
+    assert len(rewritten) == 1
+    codes = spark.range(1).select(*[line_dedup.by_rarity(F.lit(w), ranks)[0].alias(w) for w in words]).first()
+    assert list(codes) == sorted(codes) and len({c >> 56 for c in codes}) == 4
