@@ -1,11 +1,12 @@
 """ROUGE of two texts per key: n-gram overlap as counts in DataFrames, longest common subsequences in bit-parallel words.
 
 Both sides are words (lower case, letters and digits). Texts that are equal but for blanks at their ends score 1. A side without
-n-grams scores 0. One text of each side stands in one row; n-grams are counted with partial sums before the shuffle.
+n-grams scores 0. One text of each side stands in one row, where n-grams are counted.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,12 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def shared_grams(a: list[str], b: list[str], n: int) -> tuple[int, int, int]:
+    """How many n-grams either side has, and how many both have, repeats included."""
+    sides = [Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (a, b)]
+    return sides[0].total(), sides[1].total(), (sides[0] & sides[1]).total()
+
+
 def same(a: Column, b: Column) -> Column:
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     return strip(a) == strip(b)
@@ -45,14 +52,18 @@ def scores(same_: Column, both: Column, predicted: Column, reference: Column) ->
 
 def rouge_n(pairs: DataFrame, key: str, sizes: tuple[int, ...] = (1, 2), predicted: str = "predicted", reference: str = "reference") -> DataFrame:
     """key, n, precision, recall, f1 for each n-gram size."""
-    # both sides from one row, so that pairs which are dealt by key stay where they are
-    words = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(side).alias("side"), tx.words(F.col(c)).alias("w")) for side, c in ((0, predicted), (1, reference))])).alias("s")).select(key, "s.side", "s.w")
-    by_size = F.array(*[F.struct(F.lit(n).alias("n"), tx.ngrams(F.col("w"), n).alias("g")) for n in sizes])
-    flat = words.select(key, "side", F.explode(by_size).alias("x")).select(key, "side", F.col("x.n").alias("n"), F.explode("x.g").alias("gram"))
-    counts = flat.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("r"))
-    sums = counts.groupBy(key, "n").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum(F.least("p", "r")).alias("both"))
-    every = pairs.select(key, same(F.col(predicted), F.col(reference)).alias("same"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
-    found = every.join(sums, [key, "n"], "left").na.fill(0, ["p", "r", "both"])
+    # a pair is one row and is counted there: no shuffle, and grams leave no row
+    kind = pairs.schema[key].dataType.simpleString()
+    words = pairs.select(key, same(F.col(predicted), F.col(reference)).alias("same"), tx.words(F.col(predicted)).alias("p"), tx.words(F.col(reference)).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, *shared_grams(p or [], r or [], n)) for i, (p, r) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) for n in sizes]
+            at, *numbers = ([x[k] for x in rows] for k in range(5))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(numbers[0], pa.int32()), *(pa.array(x, pa.int64()) for x in numbers[1:])], ["id", "same", "n", "p", "r", "both"])
+
+    found = words.mapInArrow(run, f"id {kind}, same boolean, n int, p bigint, r bigint, both bigint").withColumnRenamed("id", key)
     return found.select(key, "n", *scores(F.col("same"), F.col("both"), F.col("p"), F.col("r")))
 
 

@@ -297,3 +297,12 @@ def test_aligned_frames(spark):
     got = sorted((r.chapter_idx, r.row, r.source, r.target) for r in monotone.alignments(chapters, monotone.GramRows, paragraphs=True).collect())
     assert got == [(1, 0, [0], [0]), (1, 1, [1], []), (2, 0, [0], []), (3, 0, [], [0])]
     assert monotone.alignments(chapters.where(F.lit(False)), monotone.GramRows).count() == 0
+
+
+def test_rouge_counts_in_the_row(spark):
+    """Repeats count, and no gram is shuffled."""
+    pairs = spark.createDataFrame([(1, "a a a b", "a a c b b"), (2, "x", None)], "id bigint, predicted string, reference string")
+    found = rouge.rouge_n(pairs, "id", (1, 2))
+    got = {(r.id, r.n): (r.precision, r.recall) for r in found.collect()}
+    assert got == {(1, 1): (0.75, 0.6), (1, 2): (pytest.approx(1 / 3), 0.25), (2, 1): (0, 0), (2, 2): (0, 0)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
