@@ -5,16 +5,16 @@ stretch that only earlier passages claim decides who keeps what. The claims beco
 stretched to sentence ends so that they cover the short text without gaps.
 
 Claims are kept as disjoint intervals in order, so the work follows the number of claimed stretches, not the characters.
-The state runs through a chapter's passages, so this is a grouped function; a group is one chapter.
+The state runs through a chapter's passages, so both sides are listed by chapter; chapters pass a worker many to a batch.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,26 +166,65 @@ def abridged_spans(claims: Iterable[list[Span] | None], ends: Iterable[int], len
 def within(starts: np.ndarray, ends: np.ndarray, passages: Iterable[Span]) -> list[list[int]]:
     """For each passage the numbers of the spans that lie in it, in their order: found by binary search among the starts."""
     order = np.argsort(starts, kind="stable")
-    by_start = starts[order]
-    out = []
-    for a, b in passages:
-        near = order[np.searchsorted(by_start, a) : np.searchsorted(by_start, b, "right")]
-        out.append(np.sort(near[ends[near] <= b]).tolist())
-    return out
+    by_start, in_order, lasts = starts[order], order.tolist(), ends.tolist()
+    cuts = np.array(list(passages), np.int64).reshape(-1, 2)
+    sides = (np.searchsorted(by_start, cuts[:, 0]), np.searchsorted(by_start, cuts[:, 1], "right"), cuts[:, 1])
+    return [sorted(k for k in in_order[i:j] if lasts[k] <= b) for i, j, b in zip(*(x.tolist() for x in sides), strict=True)]
 
 
-def infer(passages: DataFrame, overlaps: DataFrame, chapters: DataFrame, pick: Callable = set_order) -> DataFrame:
-    """passages(chapter_idx, idx, start_char, end_char), overlaps(chapter_idx, pos, o_start, o_end, a_start, a_end),
-    chapters(chapter_idx, a_length, a_ends array): chapter_idx, idx, abridged_start, abridged_end."""
+def numbers(listed: pa.Array, *names: str) -> Iterator[list[np.ndarray]]:
+    """A list's fields as arrays, row by row; none of a null list."""
+    flat = listed.flatten()
+    columns, at = [flat.field(n).to_numpy() for n in names], 0
+    for n in listed.value_lengths().to_pylist():
+        yield [c[at : at + (n or 0)] for c in columns]
+        at += n or 0
+
+
+def rows_made(chapters: pa.Array, made: list[list[Iterable[int]]], names: list[str]) -> pa.RecordBatch:
+    """made: columns of numbers for each chapter, whose rows they are."""
+    sides = [np.fromiter((x for m in made for x in m[k]), np.int64) for k in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(chapters.to_numpy(), [len(m[0]) for m in made]), pa.int64()), *map(pa.array, sides)], ["chapter_idx", *names])
+
 
-    def run(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("idx")
-        found = found.sort_values("pos")
-        o0, o1, spans = found.o_start.to_numpy(), found.o_end.to_numpy(), list(zip(found.a_start, found.a_end, strict=True))
-        claims = [[spans[k] for k in mine] for mine in within(o0, o1, zip(own.start_char, own.end_char, strict=True))]
-        got = abridged_spans(claims, own.a_ends.iloc[0] if len(own) else (), int(own.a_length.iloc[0]) if len(own) else 0, pick)
-        return pd.DataFrame({"chapter_idx": own.chapter_idx, "idx": own.idx, "abridged_start": [a for a, _ in got], "abridged_end": [b for _, b in got]})
+def claimed(overlaps: DataFrame) -> DataFrame:
+    """overlaps(chapter_idx, idx, pos, a_start, a_end), in which idx names the passage that claims: chapter_idx, place (of the passage among those that claim), n_chars that it holds in the end."""
 
-    left = passages.join(chapters.select("chapter_idx", "a_length", "a_ends"), "chapter_idx")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for idx, starts, ends in numbers(b.column(1), "idx", "a_start", "a_end"):
+                held, cuts = Claims(), np.flatnonzero(np.diff(idx, prepend=idx[0] - 1)).tolist()
+                spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                for k, (i, j) in enumerate(zip(cuts, [*cuts[1:], len(spans)], strict=True)):
+                    held.claim(k, spans[i:j])
+                sizes = held.sizes()
+                made.append([list(sizes), list(sizes.values())])
+            yield rows_made(b.column(0), made, ["place", "n_chars"])
+
+    listed = overlaps.groupBy("chapter_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "pos", "a_start", "a_end"))).alias("found"))
+    return listed.mapInArrow(run, "chapter_idx bigint, place bigint, n_chars bigint")
+
+
+def infer(passages: DataFrame, overlaps: DataFrame, chapters: DataFrame, pick: Callable = set_order) -> DataFrame:
+    """passages(chapter_idx, idx, start_char, end_char), overlaps(chapter_idx, pos, o_start, o_end, a_start, a_end),
+    chapters(chapter_idx, a_length, a_ends array): chapter_idx, idx, abridged_start, abridged_end.
+
+    A chapter's passages, overlaps and sentence ends each come once, in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            sides = (numbers(b.column(1), "idx", "start_char", "end_char"), numbers(b.column(2), "o_start", "o_end", "a_start", "a_end"), b.column(3).to_pylist(), b.column(4).to_pylist())
+            for (idx, starts, ends), (o0, o1, a0, a1), length, a_ends in zip(*sides, strict=True):
+                spans = list(zip(a0.tolist(), a1.tolist(), strict=True))
+                claims = [[spans[k] for k in mine] for mine in within(o0, o1, zip(starts.tolist(), ends.tolist(), strict=True))]
+                got = abridged_spans(claims, a_ends or (), length, pick)
+                made.append([idx.tolist(), [a for a, _ in got], [e for _, e in got]])
+            yield rows_made(b.column(0), made, ["idx", "abridged_start", "abridged_end"])
+
+    left = passages.groupBy("chapter_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "start_char", "end_char"))).alias("own"))
     right = overlaps.select(F.col("chapter_idx").alias("chapter"), "pos", "o_start", "o_end", "a_start", "a_end")  # own names, as both sides may stem from one table
-    return left.groupBy("chapter_idx").cogroup(right.groupBy("chapter")).applyInPandas(run, "chapter_idx bigint, idx bigint, abridged_start bigint, abridged_end bigint")
+    found = right.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("pos", "o_start", "o_end", "a_start", "a_end"))).alias("found"))
+    both = left.join(chapters.select("chapter_idx", "a_length", "a_ends"), "chapter_idx").join(found, F.col("chapter_idx") == F.col("chapter"), "left")
+    return both.select("chapter_idx", "own", "found", "a_length", "a_ends").mapInArrow(run, "chapter_idx bigint, idx bigint, abridged_start bigint, abridged_end bigint")
