@@ -1,13 +1,16 @@
 """Labels from overlaps, runs, spacing, numbers and titles against plain loops."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import labels
+from spanloom.plans import labels as plans
 from spanloom.plans import texts
+from spanloom.plans.fixtures import Fixtures
 
 rng = random.Random(4)
 CUT = labels.plain_tokenizer()
@@ -59,6 +62,51 @@ def test_runs_and_spacing(spark, threshold):
     assert got == {i: loop_extract(t, m, threshold) for i, t, m in rows}
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 1.0])
+def test_runs_where_tokens_are_made(spark, threshold):
+    rows = []
+    for i in range(150):
+        tokens = [rng.choice(["a", " b", ".", "?", " .", ";"]) for _ in range(rng.randrange(0, 14))]
+        rows.append((i, tokens, [rng.randrange(2) for _ in tokens]))
+    df = spark.createDataFrame(rows, "i int, tokens array<string>, labels array<int>")
+    got = {r.i: r.t for r in df.select("i", labels.kept_runs(F.col("tokens"), F.col("labels"), threshold).alias("t")).collect()}
+    assert got == {i: labels.kept_texts(t, m, threshold) for i, t, m in rows}
+
+
+def test_many_runs_cost_no_product(spark):
+    """20,000 runs in a passage: a label or an end that is sought from the start for each run would take minutes."""
+    tokens, marks = ["a", " b", "?"] * 20_000, [1, 0, 0, 0, 1, 1] * 10_000
+    df = spark.createDataFrame([(tokens, marks)], "tokens array<string>, labels array<int>")
+    began = time.monotonic()
+    row = df.select(labels.kept_runs(F.col("tokens"), F.col("labels")).alias("kept"), labels.spaced(labels.kept_runs(F.col("tokens"), F.col("labels"))).alias("t")).first()
+    assert time.monotonic() - began < 30
+    assert row.kept == ["a b?"] * 10_000 and row.t == " ".join(["a b?"] * 10_000)
+
+
+def test_paragraphs_are_labelled_in_their_rows(spark):
+    """Segments and what is kept of them come with their paragraph: nothing meets in a sweep, and texts are those of the sweep."""
+    made = {"doc_id": "bigint", "source": "string", "text": "string"}
+    texts_ = ["One. Two!  Three? \n\n x. y: z; u", "\n", "", None, "a.b.c.\nno end", "x. " * 30 + "\n" + "\U0001f600 y! " * 9]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts_)], ", ".join(f"{c} {t}" for c, t in made.items()))
+    fx = Fixtures(spark, "")
+    fx.chapters = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_idx"), F.col("text").alias("original"))
+    found = plans.dataset(fx, "paragraph", 19)
+    kept = fx.rated(19).where("kept").select("chapter_idx", F.col("start_char").alias("o_start"), F.col("end_char").alias("o_end"))
+    swept = labels.label_passages(labels.with_overlaps(plans.passages(fx, "paragraph"), fx.segments, kept), labels.plain_tokenizer)
+    rows = lambda df: sorted((r.chapter_idx, r.idx, r.tokens, r.labels) for r in df.collect())
+    assert rows(found) == rows(swept) and rows(found)
+    for df in (found, plans.extracts(fx)):
+        assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paragraphs_keep_their_line_breaks(spark):
+    given = ["a\nb", "\n", "\n\na\n", "", "a", None, "a\r\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = {r.i: r.p for r in df.select("i", tx.paragraph_texts(F.col("t")).alias("p")).collect()}
+    cut = lambda t: [p + "\n" for p in t.split("\n")[:-1]] + t.split("\n")[-1:]
+    assert got == {i: None if t is None else cut(t) for i, t in enumerate(given)}
+
+
 def test_passages_get_their_overlaps(spark):
     segments = [(c, a, a + 4, f"s{a:02} ") for c in range(3) for a in range(0, 40, 4)]
     passages = [(c, k, a, a + 8) for c in range(3) for k, a in enumerate(range(0, 40, 8))]
