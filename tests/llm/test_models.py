@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontamination, hash_forest, pitman_yor, seating, toxicity
+from spanloom.llm import decontamination, hash_forest, packing, pitman_yor, seating, toxicity
 from spanloom.llm.queries import op1_pitman_yor, op3_toxicity, op5_hash_prefix_forest, op8_benchmark_decontamination
 from spanloom.llm.runtime import written
 
@@ -317,3 +317,32 @@ def test_toxicity_holds_a_sample_once_on_the_driver(spark, monkeypatch):
     assert all(at.itemsize == 4 and not at.flags.owndata for at, _ in seen) and sum(y for _, y in seen) == 26
     again = plain([(np.array(at, np.int64), y) for at, y in seen], 20, 1.0, 1.0, 0.0, 0.0, 8)
     assert (model.at == again.at).all() and (model.weight == again.weight).all() and model.bias == again.bias
+
+
+def test_what_is_packed_comes_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 700):
+        word, context = np.sort(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)), rng.integers(0, 1 << 20, n)
+        word[: n // 2] = word[: 1]  # half of the entries are of one word
+        order, first = pitman_yor.by_pair(word, context, 1 << 20)
+        word, context, runs = word[order], context[order], np.diff(first, append=n)
+        names = ["words", "runs", "contexts"]
+        row = dict(zip(names, pitman_yor.pack_pairs(word[first], runs, context, first), strict=True)) | {"n": n, "m": len(first)}
+        for got, given in zip(pitman_yor.unpack_pairs(row), (word[first], runs, context, first), strict=True):
+            assert (got == given).all() and len(got) == len(given)
+        values = rng.integers(-(1 << 40), 9, n)
+        assert (packing.unpack_plain(packing.pack_plain(values), n) == values).all()
+
+
+def test_tokens_travel_short():
+    """Hashes ascend, contexts ascend within a word, places are in no order: each is packed by that, at least a fifth shorter than all as differences or whole."""
+    rng = np.random.default_rng(5)
+    word, context, place = rng.choice(rng.integers(0, 1 << 64, 20_000, np.uint64), 60_000), rng.integers(0, 1 << 20, 60_000), rng.integers(0, 300, 60_000)
+    order, _ = pitman_yor.by_pair(word, context, 1 << 20)
+    word, context, place = word[order], context[order], place[order]
+    size = former = 0
+    for _, cut, row in pitman_yor.dealt(word, context, 16, place):
+        size += sum(map(len, row[2:]))
+        at = pitman_yor.starts_of(word[cut])
+        former += len(packing.pack_hashes(word[cut][at], 8)) + sum(len(packing.pack_ints(x)) for x in (np.diff(at, append=len(word[cut])), context[cut], place[cut]))
+    assert size < 0.8 * former
