@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanloom.llm import byte_repeats, line_dedup, simhash, substrings
 from spanloom.llm.suffix_groups import suffix_array
@@ -205,3 +206,21 @@ def test_levels(width):
             assert all(shift[i + 180] == shift[i] for i in range(20, 60 - lengths[level] + 1) if i in shift and i + 180 in shift)
         known = set(starts.tolist())
     assert known == {i for a, b in zip(first, first[1:], strict=False) for i in range(a, b - width + 1)}
+
+
+def test_ranks_count_all_words_and_codes_sort_as_longs(spark):
+    """Ranks follow the counts of all words; codes hold no null, so that Spark sorts them as longs; lines of blanks alone are no lines."""
+    texts = [(1, "a b\na c\n \t\v\f\r \n"), (2, "a\td"), (3, None), (4, "")]
+    docs = spark.createDataFrame(texts, "row bigint, t string")
+    words = [w for _, t in texts for w in re.split(r"[\s]", t or "")]
+    table = spark.range(1).select(line_dedup.rarity(docs).alias("r")).first().r
+    low = 64 - line_dedup.RARITY_BITS
+    at = {w: xxhash.xxh64_intdigest(w.encode(), 42) >> low for w in set(words)}
+    rank = {w: (table[b] ^ (b >> line_dedup.RARITY_BITS - line_dedup.RANK_BITS)) & 255 ^ 128 for w, b in at.items()}
+    n = sorted((words.count(w), w) for w in rank if w)
+    assert [rank[w] for _, w in n] == sorted(rank[w] for _, w in n) and rank["a"] > rank["b"]
+    ranks = F.array(F.lit(0).cast("bigint"))
+    codes = docs.select(line_dedup.by_rarity(F.col("t"), ranks).alias("codes"))
+    assert not codes.schema["codes"].dataType.containsNull
+    gone = line_dedup.line_removals(spark.createDataFrame([(1, " \t\v\f\r \n\r"), (2, "\r\n \t\v\f\r ")], "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in gone.collect()} == {1: (2, 0), 2: (2, 0)}
