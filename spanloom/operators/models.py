@@ -106,11 +106,10 @@ def hashed_windows(chapters: DataFrame, text: str, size: int, most: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
             for first, last, s in byte_segments.grouped(pc.utf8_lower(b.column(1))):
                 for w, counts in enumerate(window_counts(s, size, most), 1):
                     if len(counts):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[first:last][s.text]), pa.array(s.number), pa.array(np.full(len(counts), w, np.int32)), joined_counts(counts)], ["chapter_idx", "seg_idx", "window_size", "vector"])
+                        yield pa.RecordBatch.from_arrays([b.column(0)[first:last].take(pa.array(s.text)), pa.array(s.number), pa.array(np.full(len(counts), w, np.int32)), joined_counts(counts)], ["chapter_idx", "seg_idx", "window_size", "vector"])
 
     return chapters.where(chapters[text].isNotNull()).select("chapter_idx", text).mapInArrow(run, "chapter_idx bigint, seg_idx bigint, window_size int, vector string")
 

@@ -7,12 +7,14 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import byte_segments, models
-from spanloom.plans import catalog
+from spanloom.plans import catalog, labels
+from spanloom.plans.fixtures import Fixtures
 
 rng = random.Random(8)
-PIECES = ["a", "Bc", "3", " ", "  ", ".", "!", "?", "\n", "\t", "\r", "\f", "é", "Σ", "İ", " ", " ", "\U0001f600", "|", "#", "_", "-"]
+PIECES = ["a", "Bc", "3", " ", " ", "  ", ".", "!", "?", "\n", "\t", "\r", "\f", "\v", "\xa0", "\u2003", "\x1c", "\xe9", "\u03a3", "\u0130", "\U0001f600", "|", "#", "_", "-"]
 ODD = ["", None, "\n", "\n\n", " ", ".", "...", "a", "a.b.c.d e.f", "3.14.15", "x. \n y.\n\nz", ". .\n. ", "One. Two!  Three? \n\n x. y: z; u", "no end", "Σ. ΟΔΟΣ İ", "a. b c d.", "x. " * 70 + "\n" + "\U0001f600 y! " * 9, "A\n" * 40]
 
 
@@ -61,3 +63,21 @@ def test_a_segment_is_read_once(spark, monkeypatch):
     (_, _, s), = byte_segments.grouped(pa.array(["a b. c d. e f. a b.", "a b. g"]))
     assert [x.sum() for x in models.window_counts(s, 16, 4)] == [11, 18, 22, 24]
     assert sorted(asked) == [b"a", b"b.", b"c", b"d.", b"e", b"f.", b"g"]
+
+
+def test_label_data_of_odd_texts(spark, tmp_path):
+    """All kinds of passages, with blanks of any sort where segments, pieces and passages end."""
+    texts = odd_texts() + ["a. " * n + "\n" + "b!\n" * 4 + "c? " * m for n in (9, 10, 11, 21) for m in (1, 7, 12)]
+    got, wanted = both(spark, "lbl2_label_datasets", texts, tmp_path)
+    assert got == wanted and {r[0] for r in got} == set(labels.KINDS)
+
+
+def test_a_chapter_is_tokenised_once(spark):
+    """No passage meets its segments in a sweep or a join: the five kinds come from one pass over the chapters as dealt out."""
+    df = catalog.callables()["lbl2_label_datasets"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Sort", "Join", "Union")) and plan.count("Exchange") == 1
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    for kind in labels.KINDS:
+        rows = lambda d: sorted((r.chapter_idx, r.idx, r.n_tokens, r.n_modified, r.digest) for r in d.collect())
+        assert rows(df.where(F.col("kind") == kind)) == rows(labels.counted(labels.dataset(fx, kind)))
